@@ -49,6 +49,12 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) -> DataFrame:
+    """A frame of rows that the driver holds, to be broadcast in joins while there are no more than ``most``."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

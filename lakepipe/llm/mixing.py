@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import word_count, written
+from lakepipe.llm.common import small, word_count, written
 
 #: Bits of the hash that one round of the search for a cut looks at, and rounds.
 CUT_BITS, CUT_ROUNDS = 10, 2
@@ -118,19 +118,19 @@ def _cut(rows: DataFrame, wanted: list[tuple[int, int]]) -> dict[int, tuple]:
     cut, shift = [(p, n, 0) for p, n in wanted], 62
     upto = Window.partitionBy("p").rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(CUT_ROUNDS):
-        here = rows.join(spark.createDataFrame(cut, "p long, want long, prefix long"), "p").where(F.shiftrightunsigned("h", shift) == F.col("prefix"))
+        here = rows.join(small(spark, cut, "p long, want long, prefix long"), "p").where(F.shiftrightunsigned("h", shift) == F.col("prefix"))
         shift -= CUT_BITS
         sums = here.groupBy("p", F.shiftrightunsigned("h", shift).alias("next")).agg(F.sum("size").alias("n"), F.first("want").alias("want"))
         sums = sums.withColumn("upto", F.sum("n").over(upto.orderBy("next"))).where(F.col("upto") > F.col("want"))
         found = sums.groupBy("p").agg(F.min(F.struct("next", (F.col("want") - F.col("upto") + F.col("n")).alias("want"))).alias("x"))
         cut = [(r["p"], r["x"]["want"], r["x"]["next"]) for r in found.collect()]
-    last = rows.join(spark.createDataFrame(cut, "p long, want long, prefix long"), "p").where(F.shiftrightunsigned("h", shift) == F.col("prefix"))
+    last = rows.join(small(spark, cut, "p long, want long, prefix long"), "p").where(F.shiftrightunsigned("h", shift) == F.col("prefix"))
     last = last.withColumn("upto", F.sum("size").over(upto.orderBy("h", "doc_id"))).where(F.col("upto") <= F.col("want"))
     ends = {r["p"]: r for r in last.groupBy("p").agg(F.max("upto").alias("got"), F.max(F.struct("h", "doc_id")).alias("key")).collect()}
     # without such a row the cut is just before the group
     out = [(p, ends[p]["key"]["h"], ends[p]["key"]["doc_id"], want - ends[p]["got"]) if p in ends else (p, prefix << shift, None, want) for p, want, prefix in cut]
     # of the next documents in that order, those that fill the gap best
-    table = spark.createDataFrame([o[:3] for o in out], f"p long, cut_h long, cut_id {kind}")
+    table = small(spark, [o[:3] for o in out], f"p long, cut_h long, cut_id {kind}")
     order = Window.partitionBy("p").orderBy("h", "doc_id")
     after = rows.join(table, "p").where(~_before("h", "doc_id")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= FILLERS)
     following: dict = {}
@@ -218,7 +218,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights=cyclic_weights,
     rest = [n - k * r["size"] for n, k, r in zip(want, whole, patterns, strict=True)]
     cuts = {}
     if any(rest):
-        numbered = spark.createDataFrame([(i, r["pattern"]) for i, r in enumerate(patterns)], "p long, pattern string")
+        numbered = small(spark, [(i, r["pattern"]) for i, r in enumerate(patterns)], "p long, pattern string")
         keyed = rows.where("size > 0").join(numbered, "pattern").groupBy("p", "h", "doc_id").agg(F.sum("size").alias("size"))
         cuts = _cut(keyed, [(i, n) for i, n in enumerate(rest) if n])
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -226,5 +226,5 @@ def mix(docs: DataFrame, sources: Column | None = None, weights=cyclic_weights,
         (r["pattern"], sum(sizes[s] for s in r["m"]), float(sum(goal[s] for s in r["m"])), whole[i], *cuts.get(i, (None, None, [])))
         for i, r in enumerate(patterns)
     ]
-    table = spark.createDataFrame(table, f"pattern string, source_size long, target double, whole long, cut_h long, cut_id {kind}, more array<struct<h:long,id:{kind}>>")
+    table = small(spark, table, f"pattern string, source_size long, target double, whole long, cut_h long, cut_id {kind}, more array<struct<h:long,id:{kind}>>")
     return Mix(rows, table, seed)

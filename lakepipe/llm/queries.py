@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakepipe.llm import ann
+
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    queries = index.rows.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "vector")
+    return index.search(queries, k=20)
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakepipe.llm import line_dedup
