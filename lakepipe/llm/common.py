@@ -74,3 +74,20 @@ def _word_count(text: pa.Array) -> pa.Array:
 def word_count(text: Column | str) -> Column:
     """Number of words (runs of what is not BLANK); 0 for null."""
     return _word_count(text)
+
+
+def range_buckets(df: DataFrame, key: Column, n: int) -> Column:
+    """The number (0 to n - 1, in order) of the range of about equally many rows that ``key`` (a long) falls into.
+
+    One narrow scan finds the ``n - 1`` bounds. Null keys fall into range 0.
+    """
+    import numpy as np
+
+    found = df.select(key.alias("k")).where("k IS NOT NULL").agg(F.percentile_approx("k", [(i + 1) / n for i in range(n - 1)] or [0.5], F.lit(max(10_000, 20 * n))).alias("p")).first()["p"]
+    bounds = np.array(found if found and n > 1 else [], dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def bucket(k: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, k.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32))
+
+    return bucket(key)

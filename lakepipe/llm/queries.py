@@ -35,6 +35,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakepipe.llm import order_minhash
+
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lakepipe.llm import tokens
+
+    files = tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read(spark, files)
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakepipe.llm import simhash
