@@ -15,6 +15,17 @@ def query(fn):
     return fn
 
 
+ORACLE["op2_warc_segments"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     g AS (SELECT payload_digest, min(page_id) AS least FROM q WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT q.page_id, q.payload_bytes, q.payload_digest,
+       CASE WHEN least IS NULL OR least = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN least = page_id THEN NULL ELSE least END AS refers_to
+FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +39,16 @@ def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(queries, k=20)
 
 
+@query
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakepipe.llm import warc
+    from lakepipe.llm.common import new_folder
+
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakepipe.llm import line_dedup
@@ -35,6 +56,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+#: (verdict, host and path) of the lists that come before the learned rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op4_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakepipe.llm import url_rules
+
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakepipe.llm import order_minhash
