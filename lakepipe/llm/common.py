@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that ends words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: It is what bytes.split() splits at, and what this class says in Java's patterns.
@@ -66,7 +67,7 @@ def payloads(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def _word_count(text: pa.Array) -> pa.Array:
     return pa.array([0 if b is None else len(b.split()) for b in payloads(text)], pa.int64())
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,14 @@ K, SLOTS, KEEP = 8, 64, 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+_A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x5851F42D4C957F2D)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads each bit over all (a fixed permutation of 64-bit numbers)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    """A fixed permutation of 64-bit numbers whose high bits depend on all others."""
+    x = x * _A
+    x ^= x >> np.uint64(32)
+    x *= _B
     return x
 
 
@@ -59,6 +61,12 @@ def _kmers(codes: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+@lru_cache
+def _edges(slots: int) -> np.ndarray:
+    """The least hash of each slot, and one for the end."""
+    return np.array([(i << 64) // slots for i in range(slots)] + [2**64 - 1], dtype=np.uint64)
+
+
 def fingerprint(text: str, k: int = K, slots: int = SLOTS, keep: int = KEEP) -> np.ndarray:
     """``slots`` numbers of 32 bits; 0 is an empty slot."""
     out = np.zeros(slots, dtype=np.uint32)
@@ -69,32 +77,38 @@ def fingerprint(text: str, k: int = K, slots: int = SLOTS, keep: int = KEEP) ->
     n = len(kmers)
     place = np.uint64(max(1, (n - 1).bit_length()))
     low = (np.uint64(1) << place) - np.uint64(1)
+    index = np.arange(n, dtype=np.uint64)
     # equal k-mers next to each other, in text order: hash above, position below
-    by = np.sort((kmers & ~low) | np.arange(n, dtype=np.uint64))
-    pos, high = (by & low).astype(np.int64), by >> place
-    new = np.empty(n, dtype=bool)
-    new[0] = True
-    np.not_equal(high[1:], high[:-1], out=new[1:])
-    if new.all():
-        numbered = kmers
-        order = _mixed(numbered ^ np.uint64(0x5851F42D4C957F2D))
-    else:
-        index = np.arange(n)
-        nth = index - np.maximum.accumulate(np.where(new, index, 0))
-        numbered = np.empty(n, dtype=np.uint64)
-        numbered[pos] = kmers[pos] + nth.astype(np.uint64) * np.uint64(_BASE)
-        order = _mixed(numbered ^ np.uint64(0x5851F42D4C957F2D))
-    ranked = np.sort((order & ~low) | np.arange(n, dtype=np.uint64))
-    starts = np.searchsorted(ranked, (np.arange(slots + 1, dtype=np.float64) * (2.0**64 / slots)).clip(0, 2.0**64 - 4096).astype(np.uint64))
+    by = kmers & ~low
+    by |= index
+    by.sort()
+    high = by >> place
+    same = np.flatnonzero(high[1:] == high[:-1]) + 1
+    numbered = kmers
+    if len(same):
+        # places in runs of equal k-mers: how far each stands behind the first of its run
+        gap = np.empty(len(same), dtype=bool)
+        gap[0] = True
+        np.not_equal(same[1:], same[:-1] + 1, out=gap[1:])
+        run = np.flatnonzero(gap)
+        nth = np.arange(len(same)) - np.repeat(run, np.diff(np.append(run, len(same)))) + 1
+        pos = (by[same] & low).astype(np.int64)
+        numbered = kmers.copy()
+        numbered[pos] += nth.astype(np.uint64) * np.uint64(_BASE)
+    ranked = _mixed(numbered ^ _C)
+    ranked &= ~low
+    ranked |= index
+    ranked.sort()
+    starts = np.searchsorted(ranked, _edges(slots))
     starts[-1] = n
     take = np.minimum(starts[:-1, None] + np.arange(keep), starts[1:, None])  # the slot's end stands for none
     none = take >= starts[1:, None]
     at = np.where(none, n, (ranked[np.minimum(take, n - 1)] & low).astype(np.int64))
     at.sort(axis=1)  # text order, none last
     value = np.zeros(slots, dtype=np.uint64)
-    padded = np.append(numbered, np.uint64(0))
     for j in range(keep):
-        value = _mixed(value * np.uint64(_BASE) + np.where(at[:, j] < n, padded[at[:, j]], np.uint64(j + 1)))
+        found = numbered[np.minimum(at[:, j], n - 1)]
+        value = _mixed((value ^ (value >> np.uint64(29))) * np.uint64(_BASE) + np.where(at[:, j] < n, found, np.uint64(j + 1)))
     out = (value >> np.uint64(32)).astype(np.uint32)
     out[out == 0] = 1
     out[starts[:-1] == starts[1:]] = 0

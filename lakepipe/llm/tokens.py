@@ -9,9 +9,9 @@ which itself holds checksums is not at odds with its own). The payload is 1 byte
 1 byte for the width of a token (2 or 4), then the tokens. Beside each file its index has, for each record, the offset of
 its frame and its number of tokens, 8 bytes each, so records can be read in any order.
 
-Encoding: the tokenizer's words never reach over a space that a visible character follows, so texts are cut there, pieces
-met before come from a bounded cache, and the library encodes the others; texts that hold one of its special strings are
-encoded whole. Tests hold the ids against the library's for whole texts.
+Encoding: the tokenizer's words never reach over a single space or line break between visible characters, so texts are cut
+there, words met before come from a bounded cache, and the library encodes the others, many at a time; texts with other
+white space or one of its special strings are encoded whole. Tests hold the ids against the library's for whole texts.
 
 Defined results: a null text counts as empty; an empty text is the end id alone. Rows without an id come first; rows of one
 id are in order of text. No rows: no rows. Files are written by the tasks to the shared folder under names of their own and
@@ -87,69 +87,96 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.splits = self._splits()
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.splits = self._splits()
+        if self.splits:
+            self.line = self._one("\n")[0]
+            self.stops = {c: np.array(self._one(c), dtype=self.kind).tobytes() for c in ".,"}
 
     def _splits(self) -> bool:
-        """Whether this is a byte-level tokenizer that may be cut before spaces."""
+        """Whether this is a byte-level tokenizer that may be cut before spaces and around single line breaks."""
         import json
 
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        return spec.get("normalizer") is None and spec.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        return level and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and len(self._one("\n")) == 1
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
-        """The text cut before each space that a visible character follows; the space is left out of all but the first."""
+        """Words; all but the first and those that start with their line break stand for themselves with a space before.
+
+        None for texts that may not be cut so: with white space next to white space, at the ends, or with special strings.
+        """
         if not self.splits or any(s in text for s in self.special):
             return None
-        found = text.split(" ")
-        # a piece that does not start with a visible character belongs to the one before
-        if "" in found or not all(map(_visible, found)):
-            joined = found[:1]
-            for p in found[1:]:
-                if p and not p[0].isspace():
-                    joined.append(p)
-                else:
-                    joined[-1] += " " + p
-            return joined
-        return found
+        if text.replace("\n", " ") != " ".join(text.split()):
+            return None
+        return text.replace("\n", " \n").split(" ")
+
+    def _learn(self, new: set[str]) -> None:
+        """Puts pieces into the cache: a word and the stops after it are encoded apart, as the tokenizer does."""
+        cache, parts, wanted = self.cache, {}, set()
+        for p in new:
+            word = p[1:] if p[0] == "\n" else " " + p
+            stem = word.rstrip(".,")
+            tail = word[len(stem) :]
+            # more than one stop, or what is not letters before them, stays together
+            if len(tail) != 1 or not stem.strip(" ").isalpha():
+                stem, tail = word, ""
+            parts[p] = (p[0] == "\n", stem, tail)
+            wanted.add(stem)
+        known = self.words
+        if len(known) > CACHE:
+            known.clear()
+        lacking = [w for w in wanted if w not in known and "\n" not in w]
+        for at in range(0, len(lacking), 4096):
+            part = lacking[at : at + 4096]
+            # one text for all, with a line break (a token of its own) after each
+            ids = np.array(self._many("\n".join(part)), dtype=self.kind)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep line breaks apart")
+            raw, size, first = ids.tobytes(), self.width, 0
+            for w, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
+                known[w] = raw[first * size : end * size]
+                first = end + 1
+        line = np.array([self.line], dtype=self.kind).tobytes()
+        for p, (broken, stem, tail) in parts.items():
+            raw = known[stem] if stem in known else self._whole([stem])[0]
+            if tail:
+                raw += self.stops[tail]
+            cache[p] = line + raw if broken else raw
+
+    def _many(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        cut = [self.pieces(t) if t else [] for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
         out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        cache = self.cache
-        wanted = set()
-        heads = {}
-        for c in cut:
-            if c:
-                wanted.update(c[1:])
-                heads[c[0]] = b""
-        new = [p for p in wanted if p not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cache.update(zip(part, self._ids([" " + p for p in part]), strict=True))
-        first = list(heads)
-        heads.update(zip(first, self._ids(first), strict=True))
-        get = cache.__getitem__
-        for i, c in enumerate(cut):
+        # the first word has no space before it, like one after a line break
+        found = [["\n" + c[0], *c[1:]] if c else None for c in cut]
+        wanted = set().union(*[c for c in found if c])
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        if new := wanted.difference(self.cache):
+            self._learn(new)
+        get, skip = self.cache.__getitem__, self.width
+        for i, c in enumerate(found):
             if c is not None:
-                out[i] = heads[c[0]] + b"".join(map(get, c[1:]))
+                out[i] = b"".join(map(get, c))[skip:]
         return out
 
 
-def _visible(piece: str) -> bool:
-    return not piece[:1].isspace()
-
-
 def encoder(path: str) -> Encoder:
     kept = _kept()
     if getattr(kept, "path", None) != path:
