@@ -39,7 +39,8 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def _tokens(line: str) -> Column:
-    return F.filter(F.split(F.col(line), BLANK + "+"), lambda t: t != "")
+    """Of a line with a token."""
+    return F.split(F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r")), BLANK + "+")
 
 
 def _free(df: DataFrame) -> None:
@@ -56,29 +57,29 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _levels(classes: DataFrame) -> Column:
-    """How frequent each of BUCKETS buckets of tokens is, in 16 steps of half a binary order around the mean, eight to a
-    number; its size is fixed, so it travels as a constant."""
-    words = classes.select(F.explode(F.split("line", BLANK + "+")).alias("t")).where("t != ''")
-    counts = written(words.groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    """How frequent each of BUCKETS buckets of tokens is, in 8 steps around the mean; its size is fixed, so it travels as a
+    constant."""
+    words = classes.select(F.explode(_tokens("line")).alias("t"))
+    counts = written(words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
     mean = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / BUCKETS or 1.0
-    level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("n") / F.lit(mean)) * 2 + 4))).cast("long")
-    packed = counts.groupBy(F.shiftright("b", 3).alias("at")).agg(F.sum(level * F.pow(F.lit(16.0), F.col("b") % 8).cast("long")).alias("v"))
+    level = F.greatest(F.lit(0), F.least(F.lit(7), F.floor(F.log2(F.col("n") / F.lit(mean)) + 2))).cast("long")
+    # sixteen to a number on the way
+    packed = counts.groupBy(F.shiftright("b", 4).alias("at")).agg(F.sum(F.call_function("shiftleft", level, ((F.col("b") % 16) * 3).cast("int"))).alias("v"))
     found = {r["at"]: r["v"] for r in packed.collect()}
     dropped(counts)
-    return F.expr(f"array({', '.join(f'{found.get(i, 0)}L' for i in range(BUCKETS // 8))})")
+    return F.expr(f"array({', '.join(f'{found.get(i, 0)}L' for i in range(BUCKETS // 16))})")
 
 
 def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
-    """Adds ``set`` (different tokens as numbers, the rarest first): 4 bits of rarity, then 60 bits of hash."""
-    hashed = F.transform(_tokens("line"), lambda t: F.xxhash64(t))
+    """Adds ``set`` (different tokens as numbers, the rarest first): 3 bits of rarity, then 60 bits of hash."""
+    hashed = F.array_distinct(F.transform(_tokens("line"), lambda t: F.xxhash64(t)))
 
     def placed(h: Column) -> Column:
-        b = F.pmod(h, F.lit(BUCKETS)).cast("int")
-        level = F.call_function("shiftright", F.get(levels, F.shiftright(b, 3)), b.bitwiseAND(F.lit(7)) * 4).bitwiseAND(F.lit(15).cast("long"))
-        return F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+        b = h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+        level = F.call_function("shiftright", F.get(levels, F.shiftright(b, 4)), b.bitwiseAND(F.lit(15)) * 3).bitwiseAND(F.lit(7).cast("long"))
+        return F.coalesce(F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4)), F.lit(0).cast("long"))
 
-    # the sign is flipped, for levels of 8 and above come out negative
-    return classes.withColumn("set", F.sort_array(F.transform(F.array_distinct(hashed), lambda h: placed(h).bitwiseXOR(F.lit(-(2**63)).cast("long")))))
+    return classes.withColumn("set", F.sort_array(F.transform(hashed, placed)))
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
