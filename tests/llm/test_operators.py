@@ -426,7 +426,7 @@ def test_mix_awkward(spark):
     chosen = m.select(df)
     assert chosen.columns == df.columns
     # the selection is what the report says
-    words = chosen.select(F.sum(F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"))).alias("n")).first()["n"]
+    words = sum(len((r["text"] or "").encode().split()) for r in chosen.collect())
     assert words == sum(r["taken"] for r in rows)
     assert mixing.mix(df.limit(0)).report().count() == 0
 
