@@ -15,6 +15,8 @@ def columns_of(aggs: dict[str, str | list[str]]) -> list[Column]:
     for column, functions in aggs.items():
         if isinstance(functions, str):
             out.append(aggregate_column(column, functions).alias("count" if column == "*" else column))
+        elif not isinstance(functions, (list, tuple)):
+            raise ValueError(f"not an aggregate's name: {functions!r}")
         else:
             out += [aggregate_column(column, f).alias(f"{'rows' if column == '*' else column}_{f}") for f in functions]
     return out
