@@ -200,6 +200,10 @@ class RuleEnsemble:
         rows = docs.withColumn("__statistics", _statistics(docs[text]))
         return rows.select(*keep, self.column("__statistics").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
+    def accepted(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The rows of ``docs`` that are predicted 1, with their own columns."""
+        return docs.withColumn("__statistics", _statistics(docs[text])).where(self.column("__statistics") >= 0.5).drop("__statistics")
+
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, n_bins: int = 32, seed: int = 7) -> RuleEnsemble:
     """From a matrix of STATISTICS and 0/1 labels. The penalty is chosen on every fifth row."""

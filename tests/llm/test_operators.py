@@ -384,6 +384,8 @@ def test_quality_awkward(spark):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (6, None, 0), (99, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(df, labels)
     assert out.count() == df.count() and set(out.columns) == {*df.columns, "predicted"}
+    model = quality.learn(df, labels)
+    assert model.accepted(df).columns == df.columns and model.accepted(df).count() == out.where("predicted = 1").count()
     none = quality.classify(df, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5} and {r["predicted"] for r in none} == {1}
     assert quality.classify(df.limit(0), labels).count() == 0
