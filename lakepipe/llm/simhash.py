@@ -91,38 +91,40 @@ def ball(bits: int, radius: int) -> list[int]:
 
 
 def linked(fps: DataFrame, distance: int = 4, tables: int | None = None) -> DataFrame:
-    """``fps``: a column fp of different fingerprints. Gives (node, label) for those with a link."""
+    """``fps``: a column fp of different fingerprints. Gives (node, label), the label being the same for
+    those that links join."""
     if tables is None:  # segments of about as many bits as there are fingerprints in a logarithm
         tables = 3 if fps.count() <= 1 << 22 else 2
     cut = segments(tables, distance)
     key = F.expr("(shiftrightunsigned(fp, shift) & whole) ^ mask").alias("key")
 
-    def looked_up(masks: list[tuple[int, int, int, int]]) -> DataFrame:
+    def looked_up(rows: DataFrame, masks: list[tuple[int, int, int, int]]) -> DataFrame:
         values = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("shift"), F.lit(w).cast("long").alias("whole"), F.lit(m).cast("long").alias("mask")) for t, s, w, m in masks])
-        return fps.select("fp", F.explode(values).alias("x")).select("fp", "x.*").select("t", key, "fp")
+        return rows.select("*", F.explode(values).alias("x")).select(*rows.columns, "x.*").select("t", key, *rows.columns)
 
-    entries = looked_up([(t, s, (1 << b) - 1, 0) for t, (s, b, _) in enumerate(cut)])
-    probes = looked_up([(t, s, (1 << b) - 1, m) for t, (s, b, r) in enumerate(cut) for m in ball(b, r)])
+    own = [(t, s, (1 << b) - 1, 0) for t, (s, b, _) in enumerate(cut)]
+    near_by = [(t, s, (1 << b) - 1, m) for t, (s, b, r) in enumerate(cut) for m in ball(b, r)]
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
-    first = entries.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    met = written(probes.join(first, ["t", "key"]).where((F.col("n") > 1) | (F.col("pivot") != F.col("fp"))).select("t", "key", "fp", "pivot"), "met")
-    one = components(met.where((F.col("fp") != F.col("pivot")) & near("fp", "pivot")).select(F.col("fp").alias("u"), F.col("pivot").alias("v")))
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.join(one.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-
-    entries, met_named = named(entries), named(met.drop("pivot"))
-    mixed = entries.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    asking = met_named.join(mixed, ["t", "key"]).where((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("label")))
-    there = entries.select("t", "key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
+    # all that meet in an entry against one of it
+    pivots = looked_up(fps, own).groupBy("t", "key").agg(F.min("fp").alias("pivot"))
+    found = looked_up(fps, near_by).join(pivots, ["t", "key"]).where((F.col("fp") != F.col("pivot")) & near("fp", "pivot"))
+    one = components(found.select(F.col("fp").alias("u"), F.col("pivot").alias("v")))
+
+    # then groups against each other; an entry of one group has nothing more to tell that group
+    named = written(fps.join(one.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "named")
+    there = looked_up(named, own)
+    closed = there.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    closed = closed.where((F.col("lo") == F.col("hi")) & (F.col("n") >= 16)).select(F.col("t").alias("ct"), F.col("key").alias("ckey"), "lo")
+    asking = looked_up(named, near_by)
+    # the label is compared in a form that is no key of the join, so that both joins are dealt alike
+    asking = asking.join(closed, (asking["t"] == closed["ct"]) & (asking["key"] == closed["ckey"]) & (F.col("label").bitwiseXOR(F.col("lo")) == 0), "left_anti")
+    there = there.select("t", "key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
     pairs = asking.join(there, ["t", "key"]).where((F.col("label") != F.col("label2")) & near("fp", "fp2"))
     two = components(pairs.select(F.col("label").alias("u"), F.col("label2").alias("v")))
-    # what the second search joined, over what the first did; a vertex of the second may be without a link of the first
-    nodes = one.select("node", "label").unionByName(two.select("node", F.col("node").alias("label")).join(one.select("node"), "node", "left_anti"))
-    out = nodes.join(two.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = named.join(two.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(F.col("fp").alias("node"), F.coalesce("top", "label").alias("label"))
     out = written(out, "linked")
-    dropped(met)
+    dropped(named)
     return out
 
 
@@ -131,7 +133,7 @@ def groups(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str = "do
     rows = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(docs[text], width).alias("fp")), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     links = linked(classes.select("fp"), distance)
-    named = classes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = classes.join(links.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     found = written(named.join(least, "label").select("fp", "component_id"), "groups")
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
