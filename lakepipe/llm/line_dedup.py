@@ -7,7 +7,7 @@ Lines without tokens always stay.
 How: lines with the same text are one class from the start, led by its first place. The tokens of each class are put in
 order of rarity, by counts over all lines that are kept in a fixed number of buckets; any order gives the same result,
 a good one gives short lists. Two similar sets must share a token among the first few of both (prefix filter); of what
-shares one, pairs go whose sizes or positions, or whose 64-bit token maps, rule the similarity out (length, positional
+shares one, pairs go whose sizes or positions, or whose 128-bit token maps, rule the similarity out (length, positional
 and bitmap filter). That first asks only whether a class has any candidate, and emits no pair. Among the classes that
 have one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a
 large group of near copies by one comparison each; only the others meet all earlier holders of a prefix token, and
@@ -17,6 +17,9 @@ Defined results: a null text has no lines. Rows with the same id and text count
 a number made of their text, after all ids. Documents without any tokens stay as they are; documents that had some and
 lose all lines are dropped by clean(). No rows: no rows. Other columns of whatever name pass through clean().
 Tokens and lines are told apart by 64-bit hashes.
+
+Arrays are exploded in the outer form: for the plain one Spark first filters empty arrays, and works them out once more (or
+more often) to do so.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def _free(df: DataFrame) -> None:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """h, key, line_no (of the first place), line; a row for each different line with a token."""
-    lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = docs.select("key", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     first = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("key", "line_no")).alias("at"), F.max("line").alias("line"))
     return first.select("h", "at.key", "at.line_no", "line")
 
@@ -59,7 +62,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 def _levels(classes: DataFrame) -> Column:
     """How frequent each of BUCKETS buckets of tokens is, in 8 steps around the mean; its size is fixed, so it travels as a
     constant."""
-    words = classes.select(F.explode(_tokens("line")).alias("t"))
+    words = classes.select(F.explode_outer(_tokens("line")).alias("t"))
     counts = written(words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
     mean = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / BUCKETS or 1.0
     level = F.greatest(F.lit(0), F.least(F.lit(7), F.floor(F.log2(F.col("n") / F.lit(mean)) + 2))).cast("long")
@@ -83,12 +86,20 @@ def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """A row for each prefix token: token, h, n, pos, map, key, line_no."""
+    """A row for each prefix token: token, h, n, pos, low, high, key, line_no."""
     n = F.size("set")
     length = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    bits = F.aggregate("set", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    rows = sets.withColumn("n", n).withColumn("map", bits).withColumn("prefix", F.slice("set", F.lit(1), length))
-    return rows.select("h", "n", "map", "key", "line_no", F.posexplode("prefix").alias("pos", "token"))
+
+    def bits(high: int) -> Column:
+        """Of 128 bits, the lower or the higher half; a token sets the one that its last seven bits name."""
+        one = F.lit(1).cast("long")
+        here = lambda t: F.shiftright(t, 6).bitwiseAND(one) if high else F.shiftright(t, 6).bitwiseAND(one).bitwiseXOR(one)
+        return F.aggregate("set", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", here(t), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
+    # never null, or Spark filters nulls first, and works the sets out once more to do so
+    zero = F.lit(0)
+    rows = sets.withColumn("n", F.coalesce(n, zero)).withColumn("low", F.coalesce(bits(0), zero.cast("long"))).withColumn("high", F.coalesce(bits(1), zero.cast("long"))).withColumn("prefix", F.slice("set", F.lit(1), length))
+    return rows.select("h", "n", "low", "high", "key", "line_no", F.posexplode_outer("prefix").alias("pos", "token"))
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
@@ -97,15 +108,14 @@ def _possible(a: str, b: str, threshold: float) -> Column:
     low, high = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
     need = F.ceil((c(a, "n") + c(b, "n")) * (threshold / (1 + threshold)) - 1e-9)
     behind = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    apart = F.bit_count(c(a, "map").bitwiseXOR(c(b, "map")))
+    apart = F.bit_count(c(a, "low").bitwiseXOR(c(b, "low"))) + F.bit_count(c(a, "high").bitwiseXOR(c(b, "high")))
     return (low >= high * threshold - 1e-9) & (F.least(c(a, "pos"), c(b, "pos")) + behind >= need) & (c(a, "n") + c(b, "n") - apart >= 2 * need)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (h, h2) whose sets are similar; h only, once."""
     one, two = sets.select("h", F.col("set").alias("s1")), sets.select(F.col("h").alias("h2"), F.col("set").alias("s2"))
-    both = F.size(F.array_intersect("s1", "s2"))
-    ok = both >= threshold * (F.size("s1") + F.size("s2") - both) - 1e-9
+    ok = F.size(F.array_intersect("s1", "s2")) * (1 + threshold) >= threshold * (F.size("s1") + F.size("s2")) - 1e-9
     return pairs.join(one, "h").join(two, "h2").where(ok).select("h").distinct()
 
 
@@ -118,10 +128,11 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFr
     sets = _with_sets(classes, levels).drop("line")
 
     # which classes have a candidate at all
-    posts = _prefixes(sets, threshold).select("token", "h", "n", "pos", "map")
+    posts = written(_prefixes(sets, threshold).select("token", "h", "n", "pos", "low", "high"), "postings")
     a, b = posts.alias("a"), posts.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold)
     some = written(a.join(b, on, "left_semi").select("h").distinct(), "candidates")
+    dropped(posts)
     _free(docs)
     chosen = classes.join(some, "h", "left_semi")
     sets = written(_with_sets(chosen, levels).drop("line"), "sets")
@@ -133,13 +144,13 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFr
         return F.array_min(mixed)
 
     place = F.struct("key", "line_no", "h")
-    keyed = sets.select("h", "key", "line_no", F.size("set").alias("n"), F.explode(F.array(*[key_of(s) for s in SALTS])).alias("token"))
+    keyed = sets.select("h", "key", "line_no", F.size("set").alias("n"), F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token"))
     lead = keyed.groupBy("token").agg(F.min(place).alias("lead"))
     pairs = keyed.join(lead, "token").where((F.col("lead.h") != F.col("h")) & (F.col("lead") < place)).select("h", F.col("lead.h").alias("h2")).distinct()
     settled = written(_similar(pairs, sets, threshold), "settled")
 
     # the others with every earlier holder of a prefix token
-    there = _prefixes(sets, threshold)
+    there = written(_prefixes(sets, threshold), "postings")
     asking = there.join(settled, "h", "left_anti")
     a, b = asking.alias("a"), there.alias("b")
     earlier = F.struct("b.key", "b.line_no", "b.h") < F.struct("a.key", "a.line_no", "a.h")
@@ -147,7 +158,7 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFr
     pairs = a.join(b, on).select(F.col("a.h").alias("h"), F.col("b.h").alias("h2")).distinct()
     late = written(settled.unionByName(_similar(pairs, sets, threshold)), "late")
     places = written(classes.select("h", "key", "line_no"), "places")
-    dropped(classes, some, sets, settled)
+    dropped(classes, some, sets, settled, there)
     _free(docs)
     return late, places
 
@@ -158,7 +169,7 @@ def marked(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text
     narrow = keyed.select(F.col("__key").alias("key"), F.col(text).alias("text"))
     late, places = repeated(narrow, threshold)
     first = places.select("h", F.col("key").alias("k1"), F.col("line_no").alias("n1")).join(late.withColumn("late", F.lit(True)), "h", "left")
-    lines = narrow.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("key", "line_no", F.xxhash64("line").alias("h"))
+    lines = narrow.select("key", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line_no IS NOT NULL").select("key", "line_no", F.xxhash64("line").alias("h"))
     gone = lines.join(first, "h").where(F.col("late").isNotNull() | (F.col("k1") != F.col("key")) | (F.col("n1") != F.col("line_no")))
     gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
     return keyed.join(written(gone, "gone"), "__key", "left")

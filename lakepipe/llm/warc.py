@@ -75,7 +75,7 @@ def records(pages: DataFrame, segment: int = SEGMENT, **how) -> DataFrame:
     block = F.when(revisit, F.concat(http, F.lit("\r\n"))).otherwise(F.concat(http, F.lit("Transfer-Encoding: chunked\r\n\r\n"), _chunked("payload")))
     rows = rows.withColumn("block", block.cast("binary")).withColumn("record_id", _record_id(F.col("id"), F.col("digest")))
     rows = rows.withColumn("segments", F.greatest(F.lit(1), F.ceil(F.octet_length("block") / segment).cast("int"))).drop("payload")
-    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("segments"))))
+    rows = rows.withColumn("number", F.explode_outer(F.sequence(F.lit(1), F.col("segments"))))
     rows = rows.withColumn("data", F.substring(F.col("block"), (F.col("number") - 1) * segment + 1, F.lit(segment)))
     first, last, many = F.col("number") == 1, F.col("number") == F.col("segments"), F.col("segments") > 1
 
