@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lakepipe.llm.common import new_folder, partitions, range_buckets
 
 #: Pieces that a worker remembers.
-CACHE = 400_000
+CACHE = 1_200_000
 MASK = 0xA282EAD8
 
 
@@ -88,7 +88,6 @@ class Encoder:
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.splits = self._splits()
         if self.splits:
             self.line = self._one("\n")[0]
@@ -120,39 +119,33 @@ class Encoder:
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, new: set[str]) -> None:
-        """Puts pieces into the cache: a word and the stops after it are encoded apart, as the tokenizer does."""
-        cache, parts, wanted = self.cache, {}, set()
+    def _learn(self, new: list[str]) -> None:
+        """Puts pieces into the cache: a word and the stop after it are encoded apart, as the tokenizer does."""
+        cache, stopped, spaced, broken = self.cache, {}, {}, {}
         for p in new:
-            word = p[1:] if p[0] == "\n" else " " + p
-            stem = word.rstrip(".,")
-            tail = word[len(stem) :]
-            # more than one stop, or what is not letters before them, stays together
-            if len(tail) != 1 or not stem.strip(" ").isalpha():
-                stem, tail = word, ""
-            parts[p] = (p[0] == "\n", stem, tail)
-            wanted.add(stem)
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
-        lacking = [w for w in wanted if w not in known and "\n" not in w]
-        for at in range(0, len(lacking), 4096):
-            part = lacking[at : at + 4096]
+            if p[-1] in ".," and (stem := p[:-1]).removeprefix("\n").isalpha():
+                stopped[p] = stem
+                if stem in cache:
+                    continue
+                p = stem
+            (broken if p[0] == "\n" else spaced)[p] = None
+        line = np.array([self.line], dtype=self.kind).tobytes()
+        self._put(list(spaced), [" " + p for p in spaced], b"")
+        self._put(list(broken), [p[1:] for p in broken], line)
+        for p, stem in stopped.items():
+            cache[p] = cache[stem] + self.stops[p[-1]]
+
+    def _put(self, keys: list[str], words: list[str], before: bytes) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
             # one text for all, with a line break (a token of its own) after each
             ids = np.array(self._many("\n".join(part)), dtype=self.kind)
-            ends = np.flatnonzero(ids == self.line)
+            ends = np.flatnonzero(ids == self.line) * self.width
             if len(ends) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep line breaks apart")
-            raw, size, first = ids.tobytes(), self.width, 0
-            for w, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                known[w] = raw[first * size : end * size]
-                first = end + 1
-        line = np.array([self.line], dtype=self.kind).tobytes()
-        for p, (broken, stem, tail) in parts.items():
-            raw = known[stem] if stem in known else self._whole([stem])[0]
-            if tail:
-                raw += self.stops[tail]
-            cache[p] = line + raw if broken else raw
+            raw, stops = ids.tobytes(), ends.tolist()
+            found = [raw[a:b] for a, b in zip([0, *(ends + self.width).tolist()], [*stops, len(ids) * self.width], strict=True)]
+            self.cache.update(zip(keys[at : at + 4096], [before + f for f in found] if before else found, strict=True))
 
     def _many(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -168,9 +161,12 @@ class Encoder:
         wanted = set().union(*[c for c in found if c])
         if len(self.cache) > CACHE:
             self.cache.clear()
-        if new := wanted.difference(self.cache):
+        # what this batch needs, apart from the rest, stays in the processor's caches
+        here = dict(zip(wanted, map(self.cache.get, wanted)))
+        if new := [p for p, v in here.items() if v is None]:
             self._learn(new)
-        get, skip = self.cache.__getitem__, self.width
+            here.update(zip(new, map(self.cache.__getitem__, new)))
+        get, skip = here.__getitem__, self.width
         for i, c in enumerate(found):
             if c is not None:
                 out[i] = b"".join(map(get, c))[skip:]
