@@ -7,7 +7,7 @@ Lines without tokens always stay.
 How: lines with the same text are one class from the start, led by its first place. The tokens of each class are put in
 order of rarity, by counts over all lines that are kept in a fixed number of buckets; any order gives the same result,
 a good one gives short lists. Two similar sets must share a token among the first few of both (prefix filter); of what
-shares one, pairs go whose sizes or positions, or whose 128-bit token maps, rule the similarity out (length, positional
+shares one, pairs go whose sizes or positions, or whose 256-bit token maps, rule the similarity out (length, positional
 and bitmap filter). That first asks only whether a class has any candidate, and emits no pair. Among the classes that
 have one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a
 large group of near copies by one comparison each; only the others meet all earlier holders of a prefix token, and
@@ -33,6 +33,10 @@ from lakepipe.llm.common import BLANK, dropped, written
 
 #: Token counts are kept in so many buckets: what the order of rarity costs in memory, whatever the corpus.
 BUCKETS = 1 << 17
+#: The columns of a token map.
+MAPS = ["m0", "m1", "m2", "m3"]
+#: Parts that tokens are joined in, one after the other, so that the shuffle of one is gone before the next is written.
+ROUNDS = 2
 #: Numbers that make two different min-hash orders.
 SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB)
 
@@ -85,31 +89,43 @@ def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
     return classes.withColumn("set", F.sort_array(F.transform(hashed, placed)))
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """A row for each prefix token: token, h, n, pos, low, high, key, line_no."""
-    n = F.size("set")
-    length = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+def _mapped(sets: DataFrame) -> DataFrame:
+    """Adds n (tokens) and m0 to m3, of whose 256 bits a token sets the one that its last eight bits name."""
 
-    def bits(high: int) -> Column:
-        """Of 128 bits, the lower or the higher half; a token sets the one that its last seven bits name."""
-        one = F.lit(1).cast("long")
-        here = lambda t: F.shiftright(t, 6).bitwiseAND(one) if high else F.shiftright(t, 6).bitwiseAND(one).bitwiseXOR(one)
-        return F.aggregate("set", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", here(t), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    def bits(word: int) -> Column:
+        long = lambda x: F.lit(x).cast("long")
+        here = lambda t: F.when(F.shiftright(t, 6).bitwiseAND(long(3)) == word, long(1)).otherwise(long(0))
+        return F.aggregate("set", long(0), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", here(t), t.bitwiseAND(long(63)).cast("int"))))
 
     # never null, or Spark filters nulls first, and works the sets out once more to do so
-    zero = F.lit(0)
-    rows = sets.withColumn("n", F.coalesce(n, zero)).withColumn("low", F.coalesce(bits(0), zero.cast("long"))).withColumn("high", F.coalesce(bits(1), zero.cast("long"))).withColumn("prefix", F.slice("set", F.lit(1), length))
-    return rows.select("h", "n", "low", "high", "key", "line_no", F.posexplode_outer("prefix").alias("pos", "token"))
+    rows = sets.withColumn("n", F.coalesce(F.size("set"), F.lit(0)))
+    return rows.withColumns({m: F.coalesce(bits(i), F.lit(0).cast("long")) for i, m in enumerate(MAPS)})
+
+
+def _prefixes(mapped: DataFrame, threshold: float) -> DataFrame:
+    """A row for each prefix token: token, h, n, pos, the map, key, line_no."""
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    rows = mapped.withColumn("prefix", F.slice("set", F.lit(1), length))
+    return rows.select("h", "n", *MAPS, "key", "line_no", F.posexplode_outer("prefix").alias("pos", "token"))
+
+
+def _may_be(a: str, b: str, threshold: float) -> Column:
+    """What the sizes and maps of similar sets fulfil."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in MAPS), F.lit(0))
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (n + m - apart >= 2 * _overlap(n, m, threshold))
+
+
+def _overlap(n: Column, m: Column, threshold: float) -> Column:
+    """Tokens that sets of these sizes share at least if they are similar."""
+    return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
     """What two postings of one token must fulfil for their sets to be similar."""
     c = lambda t, x: F.col(f"{t}.{x}")
-    low, high = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
-    need = F.ceil((c(a, "n") + c(b, "n")) * (threshold / (1 + threshold)) - 1e-9)
     behind = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    apart = F.bit_count(c(a, "low").bitwiseXOR(c(b, "low"))) + F.bit_count(c(a, "high").bitwiseXOR(c(b, "high")))
-    return (low >= high * threshold - 1e-9) & (F.least(c(a, "pos"), c(b, "pos")) + behind >= need) & (c(a, "n") + c(b, "n") - apart >= 2 * need)
+    return _may_be(a, b, threshold) & (F.least(c(a, "pos"), c(b, "pos")) + behind >= _overlap(c(a, "n"), c(b, "n"), threshold))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -125,40 +141,48 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFr
     classes = written(_classes(docs), "lines")
     _free(docs)
     levels = _levels(classes)
-    sets = _with_sets(classes, levels).drop("line")
+    _free(docs)
 
-    # which classes have a candidate at all
-    posts = written(_prefixes(sets, threshold).select("token", "h", "n", "pos", "low", "high"), "postings")
-    a, b = posts.alias("a"), posts.alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold)
-    some = written(a.join(b, on, "left_semi").select("h").distinct(), "candidates")
+    # which classes have a candidate at all; token by token, in rounds that each take part of the tokens
+    posts = _prefixes(_mapped(_with_sets(classes, levels).drop("line")), threshold)
+    posts = written(posts.select("token", "h", "n", "pos", *MAPS), "postings")
+    found = []
+    for i in range(ROUNDS):
+        part = posts.where(F.pmod("token", F.lit(ROUNDS)) == i)
+        a, b = part.alias("a"), part.alias("b")
+        on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold)
+        found.append(written(a.join(b, on, "left_semi").select("h").distinct(), "candidates"))
+        del part, a, b, on
+        _free(docs)
     dropped(posts)
-    _free(docs)
-    chosen = classes.join(some, "h", "left_semi")
-    sets = written(_with_sets(chosen, levels).drop("line"), "sets")
+    some = found[0]
+    for f in found[1:]:
+        some = some.unionByName(f)
+    chosen = classes.join(some.distinct(), "h", "left_semi")
+    sets = written(_mapped(_with_sets(chosen, levels).drop("line")), "sets")
+    places = written(classes.select("h", "key", "line_no"), "places")
+    dropped(classes, *found)
     _free(docs)
 
     # one comparison each with the earliest holder of a min-hash token
     def key_of(salt: int) -> Column:
-        mixed = F.transform("set", lambda t: F.xxhash64(t, F.lit(salt)))
-        return F.array_min(mixed)
+        return F.array_min(F.transform("set", lambda t: F.xxhash64(t, F.lit(salt))))
 
-    place = F.struct("key", "line_no", "h")
-    keyed = sets.select("h", "key", "line_no", F.size("set").alias("n"), F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token"))
-    lead = keyed.groupBy("token").agg(F.min(place).alias("lead"))
-    pairs = keyed.join(lead, "token").where((F.col("lead.h") != F.col("h")) & (F.col("lead") < place)).select("h", F.col("lead.h").alias("h2")).distinct()
-    settled = written(_similar(pairs, sets, threshold), "settled")
+    whole = ["key", "line_no", "h", "n", *MAPS]
+    place = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in ("key", "line_no", "h")])
+    keyed = sets.select(*whole, F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token"))
+    lead = keyed.groupBy("token").agg(F.min(F.struct(*whole)).alias("b"))
+    pairs = keyed.select("token", F.struct(*whole).alias("a")).join(lead, "token").where((F.col("a.h") != F.col("b.h")) & (place("b") < place("a")) & _may_be("a", "b", threshold))
+    settled = written(_similar(pairs.select(F.col("a.h").alias("h"), F.col("b.h").alias("h2")).distinct(), sets, threshold), "settled")
 
     # the others with every earlier holder of a prefix token
     there = written(_prefixes(sets, threshold), "postings")
     asking = there.join(settled, "h", "left_anti")
     a, b = asking.alias("a"), there.alias("b")
-    earlier = F.struct("b.key", "b.line_no", "b.h") < F.struct("a.key", "a.line_no", "a.h")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold) & earlier
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold) & (place("b") < place("a"))
     pairs = a.join(b, on).select(F.col("a.h").alias("h"), F.col("b.h").alias("h2")).distinct()
     late = written(settled.unionByName(_similar(pairs, sets, threshold)), "late")
-    places = written(classes.select("h", "key", "line_no"), "places")
-    dropped(classes, some, sets, settled, there)
+    dropped(sets, settled, there)
     _free(docs)
     return late, places
 
