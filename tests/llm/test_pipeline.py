@@ -62,3 +62,46 @@ def test_mix_and_packing(steps):
     assert sum(len(r["text"].encode().split()) for r in rows) == pytest.approx(words, rel=0.05)
     packed = steps[4][2].collect()
     assert sum(r["size"] for r in packed) == sum(len(r["text"].encode().split()) for r in rows)
+
+
+def test_near_copies_of_similarity(spark):
+    """Planted copies of a five-word Jaccard around 0.8, some in a family, against brute force."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for length, changes in [(3, 0), (5, 1), (100, 1), (100, 2), (300, 3), (300, 6), (300, 9), (1000, 20), (1000, 30)] * 3:
+        base = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+        for k in range(3):
+            words = base[:]
+            for at in rng.sample(range(length), changes if k else 0):
+                words[at] = f"v{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    common = " ".join(f"c{i}" for i in range(60))
+    rows += [(len(rows) + i, common + " " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(40))) for i in range(60)]
+    family = [f"f{i}" for i in range(200)]
+    for _ in range(80):
+        words = family[:]
+        for at in rng.sample(range(200), rng.randint(0, 6)):
+            words[at] = f"g{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(words)))
+    rows += [(900, None), (901, ""), (None, "one and only one"), (902, "One and only one"), (903, "twice"), (903, "something else"), (903, "twice")]
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) or frozenset([tuple(t.split())]) if (t := (x or "").lower()).split() else frozenset() for _, x in rows]
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9) if a or sets[j] else True:
+                parent[find(i)] = find(j)
+    least: dict = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (2**70, "")), (2**62 if r[0] is None else r[0], r[1] or ""))
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string").repartition(3)
+    out = corpus_pipeline.simhash_near_dedup(spark, df, DIR)
+    assert out.dtypes == df.dtypes
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == sorted(least.values())
+    assert corpus_pipeline.simhash_near_dedup(spark, df.limit(0), DIR).count() == 0
