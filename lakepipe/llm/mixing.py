@@ -3,8 +3,10 @@
 Documents are summed by the set of sources they belong to (their membership pattern). A flow on the driver, over patterns
 and sources only, routes each pattern's words to the quotas of its sources; a pattern's first reading is free and each
 further one costs more (a convex cost), so words are repeated only where quotas need it. Then each pattern takes whole
-documents: all of them as often as its flow has whole readings, and for the rest documents in the order of a seeded hash.
-What is collected is bounded by the number of patterns, never by that of documents.
+documents: all of them as often as its flow has whole readings, and for the rest documents in the order of a seeded hash, up
+to the one that would pass the goal. Then again, of the documents that are left, those no larger than the gap, until none is;
+and one more if its excess is less than what is missing. A document is taken if one of these cuts takes it, so what travels
+is a row for each cut. What is collected is bounded by the number of patterns and COLLECTED, never by that of documents.
 
 Defined results: a text that is null or has no words is never taken; a null source is a source of its own, after all
 others; a null id is an id. Rows with one id and text are taken or left together. No rows: no rows. Other columns of
@@ -19,12 +21,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import small, word_count, written
+from lakepipe.llm.common import dropped, small, word_count, written
 
 #: Bits of the hash that one round of the search for a cut looks at, and rounds.
 CUT_BITS, CUT_ROUNDS = 10, 2
-#: Documents of a pattern, next in order, among which those are looked for that fill what is left.
-FILLERS = 64
+#: Documents that the search for what fills the last gaps may collect, once no more are left; with more it goes on in Spark,
+#: to the same result.
+COLLECTED = 20_000
+#: Above all hashes.
+END = 1 << 62
 
 
 def cyclic_weights(sources: list, weights=(5, 2, 1)) -> dict:
@@ -109,12 +114,13 @@ def route(capacity: dict, quota: dict, most: int = 3, price=lambda reading: (rea
 
 
 def _cut(rows: DataFrame, wanted: list[tuple[int, int]]) -> dict[int, tuple]:
-    """For each pattern ``p`` with a sum to reach, up to which (hash, id) its documents are taken, and which others are.
+    """For each pattern ``p`` whose documents pass a sum: up to which (hash, id) they are taken, whether the hash itself
+    belongs to them, and what is left of the sum.
 
     ``rows``: p, h, doc_id, size, one for each key. The hash's leading bits are summed, the group in which the sum passes
     the goal is split by the next bits, and only rows of the last such group are looked at one by one.
     """
-    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    spark = rows.sparkSession
     cut, shift = [(p, n, 0) for p, n in wanted], 62
     upto = Window.partitionBy("p").rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(CUT_ROUNDS):
@@ -128,60 +134,113 @@ def _cut(rows: DataFrame, wanted: list[tuple[int, int]]) -> dict[int, tuple]:
     last = last.withColumn("upto", F.sum("size").over(upto.orderBy("h", "doc_id"))).where(F.col("upto") <= F.col("want"))
     ends = {r["p"]: r for r in last.groupBy("p").agg(F.max("upto").alias("got"), F.max(F.struct("h", "doc_id")).alias("key")).collect()}
     # without such a row the cut is just before the group
-    out = [(p, ends[p]["key"]["h"], ends[p]["key"]["doc_id"], want - ends[p]["got"]) if p in ends else (p, prefix << shift, None, want) for p, want, prefix in cut]
-    # of the next documents in that order, those that fill the gap best
-    table = small(spark, [o[:3] for o in out], f"p long, cut_h long, cut_id {kind}")
-    order = Window.partitionBy("p").orderBy("h", "doc_id")
-    after = rows.join(table, "p").where(~_before("h", "doc_id")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= FILLERS)
-    following: dict = {}
-    for r in after.select("p", "h", "doc_id", "size").collect():
-        following.setdefault(r["p"], []).append((r["size"], r["h"], r["doc_id"]))
-    return {p: (h, i, fill(following.get(p, []), gap)) for p, h, i, gap in out}
-
-
-def fill(found: list[tuple], gap: int) -> list[tuple]:
-    """Of (size, hash, id), those whose sizes come near ``gap``: the largest that still fit, and a last one over it if nearer."""
-    taken, left = [], sorted(found, key=lambda x: (-x[0], x[1]))
-    for x in left:
-        if x[0] <= gap:
-            taken.append(x)
-            gap -= x[0]
-    rest = [x for x in left if x not in taken]
-    if rest and (last := min(rest, key=lambda x: (abs(x[0] - gap), x[1])))[0] - gap < gap:
-        taken.append(last)
-    return [x[1:] for x in taken]
-
-
-def _before(h: str, doc_id: str) -> Column:
-    """Up to the cut, a null id before all others; a cut without an id is just before its hash."""
-    tie = F.col("cut_id").isNotNull() & (F.col(doc_id).isNull() | F.coalesce(F.col(doc_id) <= F.col("cut_id"), F.lit(False)))
-    return F.coalesce((F.col(h) < F.col("cut_h")) | ((F.col(h) == F.col("cut_h")) & tie), F.lit(False))
+    return {p: (ends[p]["key"]["h"], ends[p]["key"]["doc_id"], True, want - ends[p]["got"]) if p in ends else (prefix << shift, None, False, want) for p, want, prefix in cut}
+
+
+def finish(found: list[tuple], gap: int) -> tuple[list[tuple], int]:
+    """The cuts (most, h, id, tie) of (h, id, size) in order, and the gap they leave: what fits, and again what then fits."""
+    cuts = []
+    while found := [x for x in found if x[2] <= gap]:
+        most, n = gap, 0
+        for _, _, size in found:
+            if size > gap:
+                break
+            gap, n = gap - size, n + 1
+        cuts.append((most, *found[n - 1][:2], True))
+        found = found[n:]
+    return cuts, gap
+
+
+def _cuts(rows: DataFrame, wanted: list[tuple[int, int]]) -> dict[int, tuple[list, list]]:
+    """For each pattern the cuts (most, h, id, tie), and the one document (h, id) over the sum that comes nearer to it.
+
+    A document of size up to ``most`` is taken up to (h, id); with ``tie`` unset, up to before the hash.
+    """
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    cuts: dict = {p: [] for p, _ in wanted}
+    gaps = dict(wanted)
+    table = lambda found: small(spark, found, f"p long, gap long, cuts {_cut_type(kind)}")
+    left = written(rows.join(table([(p, n, []) for p, n in gaps.items()]), "p").where("size <= gap").select("p", "h", "doc_id", "size"), "left")
+    while True:
+        sums = {r["p"]: r for r in left.groupBy("p").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+        if sum(r["rows"] for r in sums.values()) <= COLLECTED:
+            break
+        new = {}
+        for p, r in sums.items():
+            if r["n"] <= gaps[p]:
+                new[p] = (END, None, False, gaps[p] - r["n"])
+        new |= _cut(left, [(p, gaps[p]) for p in sums if p not in new])
+        for p, (h, i, tie, gap) in new.items():
+            cuts[p].append((gaps[p], h, i, tie))
+            gaps[p] = gap
+        rest = left.join(table([(p, gaps[p], cuts[p][-1:]) for p in new]), "p").where(~_within("h", "doc_id", "size") & (F.col("size") <= F.col("gap")))
+        rest = written(rest.select("p", "h", "doc_id", "size"), "left")
+        dropped(left)
+        left = rest
+    found: dict = {}
+    for r in left.orderBy("p", "h", "doc_id").collect():
+        found.setdefault(r["p"], []).append((r["h"], r["doc_id"], r["size"]))
+    dropped(left)
+    for p, xs in found.items():
+        more, gaps[p] = finish(xs, gaps[p])
+        cuts[p] += more
+    # nothing that is left fits
+    open_ = [(p, gap, cuts[p]) for p, gap in gaps.items() if gap]
+    last = rows.join(table(open_), "p").where(~_within("h", "doc_id", "size")).groupBy("p", "gap").agg(F.min(F.struct("size", "h", "doc_id")).alias("x"))
+    over = {r["p"]: [(r["x"]["h"], r["x"]["doc_id"])] for r in last.collect() if r["x"]["size"] - r["gap"] < r["gap"]} if open_ else {}
+    return {p: (cuts[p], over.get(p, [])) for p in cuts}
+
+
+def _cut_type(kind: str) -> str:
+    return f"array<struct<most:long,h:long,id:{kind},tie:boolean>>"
+
+
+def _within(h: str, doc_id: str, size: str) -> Column:
+    """Whether one of ``cuts`` takes it; a null id comes before all others."""
+    i = F.col(doc_id)
+
+    def takes(c: Column) -> Column:
+        tie = c["tie"] & (i.isNull() | F.coalesce(i <= c["id"], F.lit(False)))
+        return (F.col(size) <= c["most"]) & ((F.col(h) < c["h"]) | ((F.col(h) == c["h"]) & tie))
+
+    return F.coalesce(F.exists("cuts", takes), F.lit(False))
 
 
 @dataclass
 class Mix:
-    """What was decided. ``sizes``: a written table of id, words, pattern and hash; ``table``: a row for each pattern."""
+    """What was decided. ``sizes``: a written table of id, words, pattern and hash; ``table``: a row for each pattern;
+    ``repeats``: words of the rows of one id and text together, where there are several."""
 
     sizes: DataFrame
     table: DataFrame
     seed: int
+    repeats: DataFrame | None = None
+
+    def _with_total(self, rows: DataFrame, pattern: str, h: str, doc_id: str, size: Column) -> DataFrame:
+        """Adds ``__total``, the size that cuts go by."""
+        if self.repeats is None:
+            return rows.withColumn("__total", size)
+        again = self.repeats.select(F.col("pattern").alias("__rp"), F.col("h").alias("__rh"), F.col("doc_id").alias("__rid"), F.col("size").alias("__rn"))
+        rows = rows.join(again, (F.col(pattern) == F.col("__rp")) & (F.col(h) == F.col("__rh")) & F.col(doc_id).eqNullSafe(F.col("__rid")), "left")
+        return rows.withColumn("__total", F.coalesce("__rn", size))
 
     def _copies(self, h: str, doc_id: str) -> Column:
-        more = F.array_contains("more", F.struct(F.col(h).alias("h"), F.col(doc_id).alias("id")))
-        return F.col("whole") + F.when(_before(h, doc_id) | F.coalesce(more, F.lit(False)), 1).otherwise(0)
+        more = F.exists("more", lambda x: (x["h"] == F.col(h)) & x["id"].eqNullSafe(F.col(doc_id)))
+        return F.col("whole") + F.when(_within(h, doc_id, "__total") | F.coalesce(more, F.lit(False)), 1).otherwise(0)
 
     def report(self) -> DataFrame:
         """A row for each document: doc_id, size, source_size, target, taken."""
-        rows = self.sizes.join(self.table, "pattern")
+        rows = self._with_total(self.sizes, "pattern", "h", "doc_id", F.col("size")).join(self.table, "pattern")
         return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * self._copies("h", "doc_id")).alias("taken"))
 
     def select(self, docs: DataFrame, sources: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """The mix itself: the columns of ``docs``, a row as often as its document is taken."""
         rows = docs.withColumns({"__h": _hashed(self.seed, F.col(doc_id), F.col(text)), "__pattern": F.to_json(_members(sources), {"ignoreNullFields": "false"})})
-        table = self.table.select(*[F.col(c) if c != "pattern" else F.col(c).alias("__pattern") for c in self.table.columns if c in ("pattern", "whole", "cut_h", "cut_id", "more")])
+        table = self.table.select(*[F.col(c) if c != "pattern" else F.col(c).alias("__pattern") for c in self.table.columns if c in ("pattern", "whole", "cuts", "more")])
         clash = {c: f"__doc_{c}" for c in docs.columns if c in table.columns}
         rows = rows.withColumnsRenamed(clash)
-        rows = rows.where(F.col(clash.get(text, text)).rlike(r"[^\x20\x09-\x0D]")).join(table, "__pattern")
+        rows = self._with_total(rows.where(F.col(clash.get(text, text)).rlike(r"[^\x20\x09-\x0D]")), "__pattern", "__h", clash.get(doc_id, doc_id), word_count(clash.get(text, text)))
+        rows = rows.join(table, "__pattern")
         copies = self._copies("__h", clash.get(doc_id, doc_id)).cast("int")
         rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies)))
         return rows.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
@@ -216,15 +275,18 @@ def mix(docs: DataFrame, sources: Column | None = None, weights=cyclic_weights,
     want = [sum(flow[tuple(r["m"]), s] for s in r["m"]) for r in patterns]
     whole = [n // r["size"] if r["size"] else 0 for n, r in zip(want, patterns, strict=True)]
     rest = [n - k * r["size"] for n, k, r in zip(want, whole, patterns, strict=True)]
-    cuts = {}
+    cuts, repeats = {}, None
     if any(rest):
         numbered = small(spark, [(i, r["pattern"]) for i, r in enumerate(patterns)], "p long, pattern string")
-        keyed = rows.where("size > 0").join(numbered, "pattern").groupBy("p", "h", "doc_id").agg(F.sum("size").alias("size"))
-        cuts = _cut(keyed, [(i, n) for i, n in enumerate(rest) if n])
+        keyed = rows.where("size > 0").join(numbered, "pattern").groupBy("p", "h", "doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+        keyed = written(keyed, "keyed")
+        cuts = _cuts(keyed, [(i, n) for i, n in enumerate(rest) if n])
+        several = keyed.where("rows > 1")
+        repeats = None if several.isEmpty() else several.join(numbered, "p").select("pattern", "h", "doc_id", "size")
     kind = rows.schema["doc_id"].dataType.simpleString()
     table = [
-        (r["pattern"], sum(sizes[s] for s in r["m"]), float(sum(goal[s] for s in r["m"])), whole[i], *cuts.get(i, (None, None, [])))
+        (r["pattern"], sum(sizes[s] for s in r["m"]), float(sum(goal[s] for s in r["m"])), whole[i], *cuts.get(i, ([], [])))
         for i, r in enumerate(patterns)
     ]
-    table = small(spark, table, f"pattern string, source_size long, target double, whole long, cut_h long, cut_id {kind}, more array<struct<h:long,id:{kind}>>")
-    return Mix(rows, table, seed)
+    table = small(spark, table, f"pattern string, source_size long, target double, whole long, cuts {_cut_type(kind)}, more array<struct<h:long,id:{kind}>>")
+    return Mix(rows, table, seed, repeats)

@@ -438,3 +438,23 @@ def test_mix_of_overlapping_sources(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
     out = mixing.mix(df, sources=F.col("sources")).report().collect()
     assert len(out) == 90 and sum(r["taken"] for r in out) == pytest.approx(900, abs=60)
+
+
+def test_mix_goes_past_long_documents(spark, monkeypatch):
+    """Small documents fill the quota whatever long one lies at the cut; what is collected changes nothing."""
+    rows = [(i, "w " * 100, "a") for i in range(1000)] + [(5000, "w " * 200_000, "a"), (5001, "w " * 15_000, "a")]
+    rows += [(6000 + i, "w " * 300, "b") for i in range(500)]
+    rows += [(7000, "x " * 50, "a"), (7000, "x " * 50, "a"), (None, "y " * 40, "a"), (None, "z " * 60, "b"), (7000, "x " * 50, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for seed in range(3):
+        found = []
+        for most in (20_000, 0):
+            monkeypatch.setattr(mixing, "COLLECTED", most, raising=False)
+            m = mixing.mix(df, weights=lambda s: {"a": 0.2, "b": 0.8}, seed=seed)
+            out = m.report().collect()
+            chosen = m.select(df).collect()
+            assert sum(len(r["text"].split()) for r in chosen) == sum(r["taken"] for r in out)
+            found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["source_size"], r["taken"]) for r in out))
+            for target in {r["target"] for r in out}:
+                assert sum(r["taken"] for r in out if r["target"] == target) == pytest.approx(target, abs=150)
+        assert found[0] == found[1]
