@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,18 +16,26 @@ from pyspark.sql import types as T
 #: It is what bytes.split() splits at, and what this class says in Java's patterns.
 BLANK = r"[\x20\x09-\x0D]"
 
-_local: dict[str, str] = {}
+_folders: dict[str, str] = {}
+#: Lets Spark remove the shuffle files of a query when it has ended, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (one machine, as in tests), a temporary folder of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
+    """This application's folder in spark.checkpoint.dir; it goes when the application's Python ends.
+
+    Where that is unset, one machine (a local master) gets a temporary folder; on a cluster that is an error, as executors
+    would not see it.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="lakepipe-llm-")
-    return _local[app]
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base.rstrip("/") if base else tempfile.gettempdir()
+        _folders[app] = f"{base}/lakepipe-{app}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -35,12 +45,26 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, and losing an executor loses nothing of it."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._lakepipe_path = path
     return back
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # at the end of the application Spark may be gone already
+        if "://" not in path:
+            shutil.rmtree(path, ignore_errors=True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing reads any more."""
     for df in tables:
@@ -50,6 +74,19 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``__key`` and ``__th``, which tell documents apart and order them: the id, then a hash of the text.
+
+    Ids that are no integers are ordered as text. Rows without an id come last, by that hash.
+    """
+    kind = docs.schema[doc_id].dataType
+    if isinstance(kind, T.IntegralType):
+        key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1))
+    else:
+        key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("\U0010ffff"))
+    return docs.withColumns({"__key": key, "__th": F.xxhash64(F.col(f"`{text}`"))})
+
+
 def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) -> DataFrame:
     """A frame of rows that the driver holds, to be broadcast in joins while there are no more than ``most``."""
     df = spark.createDataFrame(rows, schema)

@@ -6,202 +6,216 @@ Lines without tokens always stay.
 
 How: lines with the same text are one class from the start, led by its first place. The tokens of each class are put in
 order of rarity, by counts over all lines that are kept in a fixed number of buckets; any order gives the same result,
-a good one gives short lists. Two similar sets must share a token among the first few of both (prefix filter); of what
-shares one, pairs go whose sizes or positions, or whose 256-bit token maps, rule the similarity out (length, positional
-and bitmap filter). That first asks only whether a class has any candidate, and emits no pair. Among the classes that
-have one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a
-large group of near copies by one comparison each; only the others meet all earlier holders of a prefix token, and
-complete similarities are verified.
-
-Defined results: a null text has no lines. Rows with the same id and text count as one document. Rows without an id go by
-a number made of their text, after all ids. Documents without any tokens stay as they are; documents that had some and
-lose all lines are dropped by clean(). No rows: no rows. Other columns of whatever name pass through clean().
-Tokens and lines are told apart by 64-bit hashes.
+a good one gives short lists. Let the first token (in that order) that two similar sets share lie at some place in each:
+it is among the first few of both (prefix filter), and what is behind it must hold the overlap that the similarity asks for
+(length and positional filter in one, as this overlap depends on both lengths). Of each set a 128-bit map goes along, in
+which a token flips the bit that it names; maps of similar sets differ in no more bits than the sets differ in tokens
+(bitmap filter). A first join asks only whether a class has any candidate, and emits no pair. Among the classes that have
+one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a large
+group of near copies by a few comparisons each; only the others meet all earlier holders of a prefix token, and complete
+similarities are verified.
+
+The query asks whether an earlier similar line exists; links between classes that this does not need are not returned.
+
+Defined results: a null text has no lines. Rows with the same id and text count as one document, rows of one id with
+different texts are documents of their own, ordered by a hash of the text. Rows without an id come after all others, by that
+hash; ids that are no integers are ordered as text. Documents without any tokens stay as they are; documents that had some
+and lose all lines are dropped by clean(). No rows: no rows. Other columns of whatever name pass through clean(). Lines are
+told apart by two 64-bit hashes, the tokens of two lines by 60 bits of one.
 
 Arrays are exploded in the outer form: for the plain one Spark first filters empty arrays, and works them out once more (or
-more often) to do so.
+more often) to do so. Arrays that several columns use are columns of a projection below, for the same reason.
 """
 
 from __future__ import annotations
 
-import gc
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import BLANK, dropped, written
+from lakepipe.llm.common import dropped, identified, written
 
 #: Token counts are kept in so many buckets: what the order of rarity costs in memory, whatever the corpus.
 BUCKETS = 1 << 17
-#: The columns of a token map.
-MAPS = ["m0", "m1", "m2", "m3"]
-#: Parts that tokens are joined in, one after the other, so that the shuffle of one is gone before the next is written.
-ROUNDS = 2
-#: Numbers that make two different min-hash orders.
-SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB)
+#: The columns of a token map: all tokens, and those whose bit 6 is set.
+MAPS = ["m0", "m1"]
+#: Numbers that make different min-hash orders.
+SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)
+#: A line with a token.
+SOLID = r"[^\x20\x09-\x0D]"
+#: Where a line stands: columns of all tables of classes.
+PLACE = ["key", "th", "line_no"]
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.col(text)), 3))
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _plain(line: str) -> Column:
+    """With one kind of white space only."""
+    plain, other = F.col(line), F.lit(False)
+    for c in "\t\x0b\f\r":
+        plain, other = F.replace(plain, F.lit(c), F.lit(" ")), other | F.col(line).contains(c)
+    return F.when(other, plain).otherwise(F.col(line))
 
 
 def _tokens(line: str) -> Column:
-    """Of a line with a token."""
-    return F.split(F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r")), BLANK + "+")
+    """All tokens of a plain line, and empty texts between."""
+    return F.split(F.col(line), F.lit(" "))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """key, th, line_no, line of lines with a token."""
+    return docs.select("key", "th", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(SOLID))
 
 
-def _free(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of plans that are done with."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g")]
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """h, key, line_no (of the first place), line; a row for each different line with a token."""
-    lines = docs.select("key", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    first = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("key", "line_no")).alias("at"), F.max("line").alias("line"))
-    return first.select("h", "at.key", "at.line_no", "line")
+    """id, h, g, copies, key, th, line_no (of the first place), line (plain); a row for each different line with a token."""
+    lines = _lines(docs).select(*PLACE, *_hashes(), _plain("line").alias("line"))
+    found = lines.groupBy("h", "g").agg(F.min(F.struct(*PLACE, "line")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    return found.select(F.monotonically_increasing_id().alias("id"), "h", "g", "copies", "at.*")
+
+
+def _bucket(h: Column) -> tuple[Column, Column]:
+    """Of a token's hash: the number that its level is in, and how far left that has to go for the level to come first."""
+    return h.bitwiseAND(_long(BUCKETS // 16 - 1)).cast("int"), F.shiftrightunsigned(h, 13).bitwiseAND(_long(60)).cast("int")
 
 
 def _levels(classes: DataFrame) -> Column:
-    """How frequent each of BUCKETS buckets of tokens is, in 8 steps around the mean; its size is fixed, so it travels as a
-    constant."""
+    """How frequent each of BUCKETS buckets of tokens is, in 16 steps around the mean, sixteen to a number; its size is fixed,
+    so it travels as a constant. The first bit of a level is turned, so that signed numbers are in the order of levels."""
     words = classes.select(F.explode_outer(_tokens("line")).alias("t"))
-    counts = written(words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    low, left = (BUCKETS // 16 - 1), 60 << 13
+    counts = written(words.groupBy(F.xxhash64("t").bitwiseAND(_long(low | left)).alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
     mean = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / BUCKETS or 1.0
-    level = F.greatest(F.lit(0), F.least(F.lit(7), F.floor(F.log2(F.col("n") / F.lit(mean)) + 2))).cast("long")
-    # sixteen to a number on the way
-    packed = counts.groupBy(F.shiftright("b", 4).alias("at")).agg(F.sum(F.call_function("shiftleft", level, ((F.col("b") % 16) * 3).cast("int"))).alias("v"))
+    level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("n") / F.lit(mean))) + 5)).cast("long").bitwiseXOR(_long(8))
+    at, shift = _bucket(F.col("b"))
+    packed = counts.groupBy(at.alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, F.lit(60) - shift)).alias("v"))
     found = {r["at"]: r["v"] for r in packed.collect()}
     dropped(counts)
     return F.expr(f"array({', '.join(f'{found.get(i, 0)}L' for i in range(BUCKETS // 16))})")
 
 
 def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
-    """Adds ``set`` (different tokens as numbers, the rarest first): 3 bits of rarity, then 60 bits of hash."""
-    hashed = F.array_distinct(F.transform(_tokens("line"), lambda t: F.xxhash64(t)))
+    """Of ``classes`` (with line) the other columns, and n, m0, m1 and ``set``: different tokens as numbers, the rarest first;
+    4 bits of rarity, then 60 bits of hash, in which the bucket's other levels are mixed."""
 
     def placed(h: Column) -> Column:
-        b = h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-        level = F.call_function("shiftright", F.get(levels, F.shiftright(b, 4)), b.bitwiseAND(F.lit(15)) * 3).bitwiseAND(F.lit(7).cast("long"))
-        return F.coalesce(F.shiftleft(level, 60).bitwiseOR(F.shiftrightunsigned(h, 4)), F.lit(0).cast("long"))
+        at, shift = _bucket(h)
+        return F.coalesce(F.call_function("shiftleft", F.get(levels, at), shift).bitwiseXOR(F.shiftrightunsigned(h, 4)), _long(0))
 
-    return classes.withColumn("set", F.sort_array(F.transform(hashed, placed)))
+    def flipped(bit) -> Column:
+        return F.coalesce(F.aggregate("set", _long(0), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", bit(t), F.hash(t)))), _long(0))
 
-
-def _mapped(sets: DataFrame) -> DataFrame:
-    """Adds n (tokens) and m0 to m3, of whose 256 bits a token sets the one that its last eight bits name."""
-
-    def bits(word: int) -> Column:
-        long = lambda x: F.lit(x).cast("long")
-        here = lambda t: F.when(F.shiftright(t, 6).bitwiseAND(long(3)) == word, long(1)).otherwise(long(0))
-        return F.aggregate("set", long(0), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", here(t), t.bitwiseAND(long(63)).cast("int"))))
-
-    # never null, or Spark filters nulls first, and works the sets out once more to do so
-    rows = sets.withColumn("n", F.coalesce(F.size("set"), F.lit(0)))
-    return rows.withColumns({m: F.coalesce(bits(i), F.lit(0).cast("long")) for i, m in enumerate(MAPS)})
+    rest = [c for c in classes.columns if c != "line"]
+    line = F.col("line")
+    hashed = F.array_distinct(F.transform(_tokens("line"), lambda t: F.xxhash64(t)))
+    gaps = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    rows = classes.select(*rest, F.when(gaps, F.array_remove(hashed, F.xxhash64(F.lit("")))).otherwise(hashed).alias("set"))
+    rows = rows.select(*rest, F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.sort_array(F.transform("set", placed)).alias("set"))
+    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))})
 
 
-def _prefixes(mapped: DataFrame, threshold: float) -> DataFrame:
-    """A row for each prefix token: token, h, n, pos, the map, key, line_no."""
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    rows = mapped.withColumn("prefix", F.slice("set", F.lit(1), length))
-    return rows.select("h", "n", *MAPS, "key", "line_no", F.posexplode_outer("prefix").alias("pos", "token"))
+def _ratio(threshold: float) -> tuple[int, int]:
+    part = Fraction(str(threshold))
+    return part.numerator, part.denominator
 
 
-def _may_be(a: str, b: str, threshold: float) -> Column:
-    """What the sizes and maps of similar sets fulfil."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in MAPS), F.lit(0))
-    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (n + m - apart >= 2 * _overlap(n, m, threshold))
+def _prefixes(sets: DataFrame, threshold: float, *also: str) -> DataFrame:
+    """A row for each prefix token: token, pos, id, n, the map and ``also``."""
+    p, q = _ratio(threshold)
+    length = F.expr(f"n - (n * {p}L + {q - 1}) div {q} + 1").cast("int")
+    return sets.select("id", "n", *MAPS, *also, F.posexplode_outer(F.slice("set", F.lit(1), length)).alias("pos", "token")).where("token IS NOT NULL")
 
 
-def _overlap(n: Column, m: Column, threshold: float) -> Column:
-    """Tokens that sets of these sizes share at least if they are similar."""
-    return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+def _maps_fit(a: str, b: str, threshold: float) -> Column:
+    """What the sizes and maps of similar sets fulfil: they differ in (n + m) (1 - threshold) / (1 + threshold) tokens at most."""
+    p, q = _ratio(threshold)
+    all_, odd = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in MAPS)
+    apart = F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)
+    return apart * F.lit(p + q).cast("long") <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(q - p).cast("long")
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
-    """What two postings of one token must fulfil for their sets to be similar."""
-    c = lambda t, x: F.col(f"{t}.{x}")
-    behind = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    return _may_be(a, b, threshold) & (F.least(c(a, "pos"), c(b, "pos")) + behind >= _overlap(c(a, "n"), c(b, "n"), threshold))
+    """What two postings of the first token that similar sets share must fulfil."""
+    p, q = _ratio(threshold)
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return _maps_fit(a, b, threshold) & (left * F.lit(p + q).cast("long") >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(p).cast("long"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (h, h2) whose sets are similar; h only, once."""
-    one, two = sets.select("h", F.col("set").alias("s1")), sets.select(F.col("h").alias("h2"), F.col("set").alias("s2"))
-    ok = F.size(F.array_intersect("s1", "s2")) * (1 + threshold) >= threshold * (F.size("s1") + F.size("s2")) - 1e-9
-    return pairs.join(one, "h").join(two, "h2").where(ok).select("h").distinct()
+    """Of pairs (id, id2) the id, once, of those whose sets are similar."""
+    p, q = _ratio(threshold)
+    one = sets.select("id", F.col("set").alias("s1")).hint("shuffle_hash")
+    two = sets.select(F.col("id").alias("id2"), F.col("set").alias("s2")).hint("shuffle_hash")
+    ok = F.expr(f"size(array_intersect(s1, s2)) * {p + q}L >= (size(s1) + size(s2)) * {p}L")
+    return pairs.join(one, "id").join(two, "id2").where(ok).select("id").distinct()
 
 
-def repeated(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """``docs``: key and text. Gives the classes that lead but are like an earlier one (h), and all classes' first places
-    (h, key, line_no)."""
+def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs``: key, th and text. Gives h, g, key, th, line_no (of the first place) and late (whether there is an earlier
+    similar line) of the classes that are late or have copies; a class may have two rows."""
     classes = written(_classes(docs), "lines")
-    _free(docs)
     levels = _levels(classes)
-    _free(docs)
-
-    # which classes have a candidate at all; token by token, in rounds that each take part of the tokens
-    posts = _prefixes(_mapped(_with_sets(classes, levels).drop("line")), threshold)
-    posts = written(posts.select("token", "h", "n", "pos", *MAPS), "postings")
-    found = []
-    for i in range(ROUNDS):
-        part = posts.where(F.pmod("token", F.lit(ROUNDS)) == i)
-        a, b = part.alias("a"), part.alias("b")
-        on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold)
-        found.append(written(a.join(b, on, "left_semi").select("h").distinct(), "candidates"))
-        del part, a, b, on
-        _free(docs)
-    dropped(posts)
-    some = found[0]
-    for f in found[1:]:
-        some = some.unionByName(f)
-    chosen = classes.join(some.distinct(), "h", "left_semi")
-    sets = written(_mapped(_with_sets(chosen, levels).drop("line")), "sets")
-    places = written(classes.select("h", "key", "line_no"), "places")
-    dropped(classes, *found)
-    _free(docs)
-
-    # one comparison each with the earliest holder of a min-hash token
+
+    # which classes have a candidate at all
+    posts = _prefixes(_with_sets(classes.select("id", "line"), levels), threshold)
+    a, b = posts.alias("a"), posts.alias("b")
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & _possible("a", "b", threshold)
+    some = written(a.join(b, on, "left_semi").select("id").distinct(), "candidates")
+    chosen = classes.join(some.hint("shuffle_hash"), "id", "left_semi")
+    sets = written(_with_sets(chosen, levels), "sets")
+    dropped(some)
+
+    # a few comparisons each, with the earliest holders of min-hash tokens
     def key_of(salt: int) -> Column:
         return F.array_min(F.transform("set", lambda t: F.xxhash64(t, F.lit(salt))))
 
-    whole = ["key", "line_no", "h", "n", *MAPS]
-    place = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in ("key", "line_no", "h")])
-    keyed = sets.select(*whole, F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token"))
+    whole = [*PLACE, "id", "n", *MAPS]
+    place = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in PLACE])
+    keyed = written(sets.select(*whole, F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token")), "keyed")
     lead = keyed.groupBy("token").agg(F.min(F.struct(*whole)).alias("b"))
-    pairs = keyed.select("token", F.struct(*whole).alias("a")).join(lead, "token").where((F.col("a.h") != F.col("b.h")) & (place("b") < place("a")) & _may_be("a", "b", threshold))
-    settled = written(_similar(pairs.select(F.col("a.h").alias("h"), F.col("b.h").alias("h2")).distinct(), sets, threshold), "settled")
+    met = keyed.select("token", F.struct(*whole).alias("a")).join(lead, "token")
+    pairs = met.where((F.col("a.id") != F.col("b.id")) & (place("b") < place("a")) & _maps_fit("a", "b", threshold))
+    settled = written(_similar(pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("id2")).distinct(), sets, threshold), "settled")
 
     # the others with every earlier holder of a prefix token
-    there = written(_prefixes(sets, threshold), "postings")
-    asking = there.join(settled, "h", "left_anti")
+    there = _prefixes(sets, threshold, *PLACE)
+    asking = _prefixes(sets.join(settled, "id", "left_anti"), threshold, *PLACE)
     a, b = asking.alias("a"), there.alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") != F.col("b.h")) & _possible("a", "b", threshold) & (place("b") < place("a"))
-    pairs = a.join(b, on).select(F.col("a.h").alias("h"), F.col("b.h").alias("h2")).distinct()
-    late = written(settled.unionByName(_similar(pairs, sets, threshold)), "late")
-    dropped(sets, settled, there)
-    _free(docs)
-    return late, places
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & _possible("a", "b", threshold) & (place("b") < place("a"))
+    pairs = a.join(b, on).select(F.col("a.id").alias("id"), F.col("b.id").alias("id2")).distinct()
+    late = settled.unionByName(_similar(pairs, sets, threshold))
+
+    out = ["h", "g", *PLACE]
+    copied = classes.where("copies > 1").select(*out, F.lit(False).alias("late"))
+    found = written(copied.unionByName(sets.join(late.hint("shuffle_hash"), "id", "left_semi").select(*out, F.lit(True).alias("late"))), "repeated")
+    dropped(classes, sets, keyed, settled)
+    return found
 
 
 def marked(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``__key`` and ``__gone`` (numbers of the lines that go, from 0; null for none)."""
-    keyed = docs.withColumn("__key", row_key(doc_id, text))
-    narrow = keyed.select(F.col("__key").alias("key"), F.col(text).alias("text"))
-    late, places = repeated(narrow, threshold)
-    first = places.select("h", F.col("key").alias("k1"), F.col("line_no").alias("n1")).join(late.withColumn("late", F.lit(True)), "h", "left")
-    lines = narrow.select("key", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line_no IS NOT NULL").select("key", "line_no", F.xxhash64("line").alias("h"))
-    gone = lines.join(first, "h").where(F.col("late").isNotNull() | (F.col("k1") != F.col("key")) | (F.col("n1") != F.col("line_no")))
-    gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
-    return keyed.join(written(gone, "gone"), "__key", "left")
+    """``docs`` with ``__gone`` (numbers of the lines that go, from 0; null for none), ``__key`` and ``__th``."""
+    keyed = identified(docs, doc_id, text)
+    narrow = keyed.select(F.col("__key").alias("key"), F.col("__th").alias("th"), F.col(f"`{text}`").alias("text"))
+    found = repeated(narrow, threshold)
+    first = found.select("h", "g", "late", F.struct(*PLACE).alias("first"))
+    lines = _lines(narrow).select(F.struct(*PLACE).alias("place"), *_hashes())
+    gone = lines.join(first.hint("shuffle_hash"), ["h", "g"]).where("late OR place != first")
+    gone = gone.groupBy(F.col("place.key").alias("__key"), F.col("place.th").alias("__th")).agg(F.collect_set("place.line_no").alias("__gone"))
+    gone = written(gone, "gone")
+    dropped(found)
+    return keyed.join(gone.hint("shuffle_hash"), ["__key", "__th"], "left")
 
 
 def _cleaned(text: str) -> Column:
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    return F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(lines, "\n"))
 
 
 def report(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +231,7 @@ def clean(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text:
     ``n_chars``, where there is such a column, is counted again for texts that changed.
     """
     rows = marked(docs, threshold, doc_id, text).withColumn("__text", _cleaned(text))
-    rows = rows.where(F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.where(F.col("__gone").isNull() | F.col("__text").rlike(SOLID))
     out = []
     for c in docs.columns:
         if c == text:
