@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from lakepipe.frame import DataFrame, GroupedDataFrame  # noqa: E402
-from lakepipe.operators.partitioning import EvenPartitionSpec, HashPartitionSpec, UserDefinedPartitionSpec  # noqa: E402
+from lakepipe.operators.partitioning import EvenPartitionSpec, HashPartitionSpec, RangePartitionSpec, UserDefinedPartitionSpec  # noqa: E402
 from lakepipe.session import GlobalContext, Session  # noqa: E402
 
 __all__ = [
@@ -17,6 +17,7 @@ __all__ = [
     "GlobalContext",
     "GroupedDataFrame",
     "HashPartitionSpec",
+    "RangePartitionSpec",
     "Session",
     "UserDefinedPartitionSpec",
 ]

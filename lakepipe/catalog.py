@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakepipe import shared
 from lakepipe.frame import DataFrame
 from lakepipe.operators.partitioning import UserDefinedPartitionSpec
 from lakepipe.session import Session
@@ -47,10 +46,6 @@ def query(sql: str | None = None):
     return register
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors see: below spark.checkpoint.dir, or on one machine a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/lakepipe-{uuid.uuid4().hex}"
 
 
 # ---- scans, filters, projections
@@ -429,21 +424,21 @@ def fn_explode(t):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(t):
-    path = shared_folder(t.session.spark)
+    path = shared.folder(t.session.spark)
     t.nation.write_csv(path, delimiter="|").compute()
     return t.session.read_csv(path, delimiter="|")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def hive_roundtrip(t):
-    path = shared_folder(t.session.spark)
+    path = shared.folder(t.session.spark)
     t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus").write_parquet(path, partition_cols=["o_orderstatus"]).compute()
     return t.session.read_parquet(path)
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'")
 def hive_prune(t):
-    path = shared_folder(t.session.spark)
+    path = shared.folder(t.session.spark)
     t.orders.select("o_orderkey", "o_orderpriority").write_parquet(path, partition_cols=["o_orderpriority"], compression="zstd").compute()
     return t.session.read_parquet(path).filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "cast(o_orderpriority AS string) AS o_orderpriority")
 
@@ -459,7 +454,7 @@ def _events_stream(t):
 def _through(t, stream) -> DataFrame:
     from lakepipe.streaming import ParquetSink
 
-    path = shared_folder(t.session.spark)
+    path = shared.folder(t.session.spark)
     stream.to(ParquetSink(f"{path}/out")).run(available_now=True, checkpoint=f"{path}/checkpoint")
     return t.session.read_parquet(f"{path}/out")
 

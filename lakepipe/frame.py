@@ -44,7 +44,7 @@ class GroupedDataFrame:
 
     def agg(self, aggs: dict[str, str | list[str]]) -> DataFrame:
         """``{"price": "sum"}``; the output keeps the column's name. A list of functions gives ``price_sum`` and so on."""
-        return self._frame._with(aggregate(self._frame.spark_frame, self._keys, aggs, self._n, self._mode))
+        return self._frame._with(lambda: aggregate(self._frame.spark_frame, self._keys, aggs, self._n, self._mode))
 
     def count(self) -> DataFrame:
         return self.agg({"*": "count"})
@@ -65,19 +65,34 @@ class GroupedDataFrame:
         """One column a value (and function). The values are given, so no extra job looks for them."""
         from lakepipe.operators.aggregate import columns_of
 
-        df = self._frame.spark_frame
-        return self._frame._with(df.groupBy(*self._keys).pivot(column, values).agg(*columns_of(aggs)))
+        return self._frame._with(lambda: self._frame.spark_frame.groupBy(*self._keys).pivot(column, values).agg(*columns_of(aggs)))
 
 
 class DataFrame:
     """Lazy and immutable: every method gives a new frame, and only actions run anything."""
 
-    def __init__(self, spark_frame: SparkFrame, session, pending: tuple[Callable[[], None], ...] = ()) -> None:
-        self._df, self._session, self._pending, self._done = spark_frame, session, pending, False
+    def __init__(self, spark_frame: SparkFrame | Callable[[], SparkFrame], session, pending: tuple[Callable[[], None], ...] = ()) -> None:
+        """``spark_frame``: a function, where the plan needs rows to be looked at; it is called once, when the plan is needed."""
+        self._made = spark_frame if isinstance(spark_frame, SparkFrame) else None
+        self._make = None if self._made is not None else spark_frame
+        self._session, self._pending, self._done = session, pending, False
         self._lock = threading.RLock()
 
-    def _with(self, spark_frame: SparkFrame) -> DataFrame:
-        return DataFrame(spark_frame, self._session, (self._flush,) if self._pending else ())
+    @property
+    def _df(self) -> SparkFrame:
+        if self._made is None:
+            with self._lock:
+                if self._made is None:
+                    self._made, self._make = self._make(), None
+        return self._made
+
+    def _with(self, make: Callable[[], SparkFrame], *others: DataFrame, late: bool = False) -> DataFrame:
+        """A frame over this one and ``others``, whose writes come first. Plans are made (and checked) at once, but for those that
+        are ``late`` or over such."""
+        frames = (self, *others)
+        pending = tuple(f._flush for f in frames if f._pending)
+        late = late or any(f._made is None for f in frames)
+        return DataFrame(make if late else make(), self._session, pending)
 
     @property
     def spark_frame(self) -> SparkFrame:
@@ -99,71 +114,84 @@ class DataFrame:
     def filter(self, predicate: str | Callable[[dict], bool]) -> DataFrame:
         """SQL text (which reaches the scan) or a function of a row."""
         if callable(predicate):
-            return self._with(udf.filter_rows(self._df, predicate))
-        return self._with(self._df.where(F.expr(check_dialect(predicate))))
+            return self._with(lambda: udf.filter_rows(self._df, predicate))
+        return self._with(lambda: self._df.where(F.expr(check_dialect(predicate))))
 
     def select(self, *columns: str) -> DataFrame:
         """Names or SQL expressions."""
-        return self._with(self._df.selectExpr(*[check_dialect(c) for c in columns]))
+        return self._with(lambda: self._df.selectExpr(*[check_dialect(c) for c in columns]))
 
     def with_column(self, name: str, expression: str) -> DataFrame:
-        return self._with(self._df.withColumn(name, F.expr(expression)))
+        return self._with(lambda: self._df.withColumn(name, F.expr(expression)))
 
     def drop(self, *columns: str) -> DataFrame:
-        return self._with(self._df.drop(*columns))
+        return self._with(lambda: self._df.drop(*columns))
 
     def rename(self, names: dict[str, str]) -> DataFrame:
-        return self._with(self._df.withColumnsRenamed(names))
+        return self._with(lambda: self._df.withColumnsRenamed(names))
 
     def map(self, fn: Callable[[dict], dict], output_schema=None) -> DataFrame:
-        return self._with(udf.map_rows(self._df, fn, output_schema))
+        return self._with(lambda: udf.map_rows(self._df, fn, output_schema), late=output_schema is None)
 
     def flatmap(self, fn: Callable[[dict], list[dict]], output_schema=None) -> DataFrame:
-        return self._with(udf.flatmap_rows(self._df, fn, output_schema))
+        return self._with(lambda: udf.flatmap_rows(self._df, fn, output_schema), late=output_schema is None)
 
     def map_batches(self, fn: Callable[[pa.RecordBatch], pa.RecordBatch], batch_size: int = 1024, output_schema=None) -> DataFrame:
-        return self._with(udf.map_batches(self._df, fn, batch_size, output_schema))
+        if batch_size < 1:
+            raise ValueError("batch_size must be positive")
+        return self._with(lambda: udf.map_batches(self._df, fn, batch_size, output_schema), late=output_schema is None)
 
     def limit(self, n: int) -> DataFrame:
         """``n`` rows of the whole frame."""
-        return self._with(self._df.limit(n))
+        return self._with(lambda: self._df.limit(n))
 
     def local_limit(self, n: int) -> DataFrame:
         """Up to ``n`` rows of each partition."""
-        return self._with(partitioning.local_limit(self._df, n))
+        return self._with(lambda: partitioning.local_limit(self._df, n))
+
+    def offset(self, n: int) -> DataFrame:
+        """All but the first ``n`` rows; a sorted frame keeps its order."""
+        return self._with(lambda: self._df.offset(n))
+
+    def with_window(self, name: str, expression: str, partition_by=(), order_by=(), rows: tuple[int | None, int | None] | None = None, range_: tuple[int | None, int | None] | None = None) -> DataFrame:
+        """A column of a window function or aggregate: ``with_window("r", "rank()", "k", "-v")``.
+
+        ``rows`` and ``range_``: from and to, relative to the row, None for unbounded.
+        """
+        return self._with(lambda: ordering.with_window(self._df, name, check_dialect(expression), partition_by, order_by, rows, range_))
 
     def distinct(self) -> DataFrame:
-        return self._with(self._df.distinct())
+        return self._with(lambda: self._df.distinct())
 
     def drop_duplicates(self, columns: list[str] | None = None) -> DataFrame:
-        return self._with(self._df.dropDuplicates(columns) if columns else self._df.dropDuplicates())
+        return self._with(lambda: self._df.dropDuplicates(columns) if columns else self._df.dropDuplicates())
 
     def sample(self, fraction: float, seed: int = 0) -> DataFrame:
-        return self._with(self._df.sample(fraction=fraction, seed=seed))
+        return self._with(lambda: self._df.sample(fraction=fraction, seed=seed))
 
     def fill_null(self, value, columns: list[str] | None = None) -> DataFrame:
-        return self._with(self._df.fillna(value, columns))
+        return self._with(lambda: self._df.fillna(value, columns))
 
     def explode(self, column: str, name: str | None = None) -> DataFrame:
         """A row for each element; rows with a null or empty array go."""
-        return self._with(self._df.withColumn(name or column, F.explode(self._df[column])))
+        return self._with(lambda: self._df.withColumn(name or column, F.explode(self._df[column])))
 
     def unpivot(self, ids: list[str], values: list[str], variable: str = "variable", value: str = "value") -> DataFrame:
-        return self._with(self._df.unpivot(ids, values, variable, value))
+        return self._with(lambda: self._df.unpivot(ids, values, variable, value))
 
     # ---- order
 
     def sort(self, *by: str) -> DataFrame:
         """Names, ``-name`` for descending."""
-        return self._with(ordering.sort(self._df, by))
+        return self._with(lambda: ordering.sort(self._df, by))
 
     def top_k(self, k: int, by, per=None) -> DataFrame:
-        return self._with(ordering.top_k(self._df, k, by, per))
+        return self._with(lambda: ordering.top_k(self._df, k, by, per))
 
     # ---- partitions
 
     def repartition(self, n_partitions: int = 0, partition_by=None, partition_spec=None) -> DataFrame:
-        """Round robin, by key, or by a spec."""
+        """Round robin, by key, or by a spec (also of ranges, or of a function)."""
         if partition_spec is not None and partition_by is not None:
             raise ValueError("give partition_by or partition_spec, not both")
         if partition_spec is None:
@@ -172,7 +200,7 @@ class DataFrame:
                 partition_spec = partitioning.HashPartitionSpec(keys, n_partitions)
             else:
                 partition_spec = partitioning.EvenPartitionSpec(n_partitions)
-        return self._with(partitioning.repartition(self._df, partition_spec))
+        return self._with(lambda: partitioning.repartition(self._df, partition_spec))
 
     @property
     def n_partitions(self) -> int:
@@ -192,44 +220,67 @@ class DataFrame:
     def join(self, other: DataFrame, on=None, how: str = "inner", partition_spec=None, broadcast: bool = False, left_suffix: str = "_left", right_suffix: str = "_right", *, left_on=None, right_on=None, strategy: str | None = None) -> DataFrame:
         """See operators.joins.join. The left's names never change, so ``left_suffix`` has no use; a hash
         ``partition_spec`` deals both sides to its number of partitions."""
-        left, right = self._df, other._df
-        if partition_spec is not None and not broadcast:
-            n = partition_spec.n_partitions
-            if n and on is not None:
-                keys = [on] if isinstance(on, str) else list(on)
-                left, right = left.repartition(n, *keys), right.repartition(n, *keys)
-        out = joins.join(left, right, on, how, left_on=left_on, right_on=right_on, broadcast=broadcast, right_suffix=right_suffix, strategy=strategy)
-        return DataFrame(out, self._session, tuple(f._flush for f in (self, other) if f._pending))
-
-    def join_asof(self, other: DataFrame, on: str, by=None, right_suffix: str = "_right") -> DataFrame:
-        return self._with(joins.join_asof(self._df, other._df, on, by, right_suffix=right_suffix))
+        def made() -> SparkFrame:
+            left, right = self._df, other._df
+            if partition_spec is not None and not broadcast:
+                n = partition_spec.n_partitions
+                if n and on is not None:
+                    keys = [on] if isinstance(on, str) else list(on)
+                    left, right = left.repartition(n, *keys), right.repartition(n, *keys)
+            return joins.join(left, right, on, how, left_on=left_on, right_on=right_on, broadcast=broadcast, right_suffix=right_suffix, strategy=strategy)
+
+        return self._with(made, other)
+
+    def cross_join(self, other: DataFrame) -> DataFrame:
+        """Every row with every row; a name that is on both sides is an error."""
+
+        def made() -> SparkFrame:
+            if both := [c for c in self.columns if c in other.columns]:
+                raise ValueError(f"both sides have {', '.join(both)}")
+            return self._df.crossJoin(other._df)
+
+        return self._with(made, other)
+
+    def join_asof(self, other: DataFrame, on: str, by=None, right_suffix: str = "_right", slices: int | None = None) -> DataFrame:
+        return self._with(lambda: joins.join_asof(self._df, other._df, on, by, right_suffix=right_suffix, slices=slices), other)
 
     def join_range(self, other: DataFrame, point: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
-        return self._with(joins.join_range(self._df, other._df, point, start, end, width, how))
+        return self._with(lambda: joins.join_range(self._df, other._df, point, start, end, width, how), other)
 
     def union(self, other: DataFrame, distinct: bool = False) -> DataFrame:
         """By column name."""
-        out = self._df.unionByName(other._df)
-        return self._with(out.distinct() if distinct else out)
+
+        def made() -> SparkFrame:
+            out = self._df.unionByName(other._df)
+            return out.distinct() if distinct else out
+
+        return self._with(made, other)
 
     def intersect(self, other: DataFrame, all: bool = False) -> DataFrame:  # noqa: A002
-        return self._with(self._df.intersectAll(other._df) if all else self._df.intersect(other._df))
+        return self._with(lambda: self._df.intersectAll(other._df) if all else self._df.intersect(other._df), other)
 
     def difference(self, other: DataFrame, all: bool = False) -> DataFrame:  # noqa: A002
-        return self._with(self._df.exceptAll(other._df) if all else self._df.subtract(other._df))
+        return self._with(lambda: self._df.exceptAll(other._df) if all else self._df.subtract(other._df), other)
 
     def sql(self, query: str) -> DataFrame:
         """SQL over this frame, called ``this``."""
-        return self._with(sql_over(self._df.sparkSession, query, {"this": self._df}))
+        return self._with(lambda: sql_over(self._df.sparkSession, query, {"this": self._df}))
 
     # ---- writers: nothing is written before an action
 
     def _to_write(self, fn: Callable[[], None]) -> DataFrame:
-        return DataFrame(self._df, self._session, (*self._pending, fn))
+        return DataFrame(self._made if self._made is not None else lambda: self._df, self._session, (*((self._flush,) if self._pending else ()), fn))
 
     def write_parquet(self, path: str, compression: str = "snappy", partition_cols=None, n_partitions: int | None = None) -> DataFrame:
         return self._to_write(lambda: sinks.write_parquet(self._df, path, compression, partition_cols, n_partitions))
 
+    def write_orc(self, path: str, compression: str = "snappy", partition_cols=None) -> DataFrame:
+        return self._to_write(lambda: sinks.write_files(self._df, "orc", path, partition_cols, compression=compression))
+
+    def write_json(self, path: str, partition_cols=None) -> DataFrame:
+        """A JSON object a line."""
+        return self._to_write(lambda: sinks.write_files(self._df, "json", path, partition_cols, ignoreNullFields="false"))
+
     def write_csv(self, path: str, delimiter: str = ",", include_header: bool = True) -> DataFrame:
         return self._to_write(lambda: sinks.write_csv(self._df, path, delimiter, include_header))
 

@@ -25,12 +25,11 @@ def columns_of(aggs: dict[str, str | list[str]]) -> list[Column]:
 def aggregate(df: DataFrame, keys: list[str], aggs: dict, n_partitions: int = 0, mode: str = "groupby") -> DataFrame:
     """Partial sums where the rows are, one shuffle of them, final sums. No key: one row.
 
-    ``n_partitions`` sets the number of groups of keys; rows are then dealt by key first, which gives up partial sums.
+    ``n_partitions``: over how many partitions the finished groups are dealt, by key.
     """
     columns = columns_of(aggs)
     if not keys:
         return df.agg(*columns)
-    if n_partitions:
-        df = df.repartition(n_partitions, *[df[k] for k in keys])
     group = {"groupby": df.groupBy, "rollup": df.rollup, "cube": df.cube}[mode]
-    return group(*keys).agg(*columns)
+    found = group(*keys).agg(*columns)
+    return found.repartition(n_partitions, *[found[i] for i in range(len(keys))]) if n_partitions else found

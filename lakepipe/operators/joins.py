@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOW = {
     "inner": "inner",
@@ -40,16 +41,16 @@ def join(left: DataFrame, right: DataFrame, on=None, how: str = "inner", *, left
     # names that cannot clash, also when a frame is joined to itself
     inner_key = [f"__k{i}" for i in range(len(left_keys))]
     rest = [c for c in right.columns if c not in right_keys] if same else list(right.columns)
-    r = right.select(*[right[k].alias(a) for k, a in zip(right_keys, inner_key, strict=True)], *[right[c].alias(f"__r_{c}") for c in rest])
+    r = right.select(*[right[_q(k)].alias(a) for k, a in zip(right_keys, inner_key, strict=True)], *[right[_q(c)].alias(f"__r_{c}") for c in rest])
     if broadcast:
         r = F.broadcast(r)
     elif strategy:
         r = r.hint(strategy)
-    l_ = left.select("*", *[left[k].alias(f"__l{i}") for i, k in enumerate(left_keys)])
+    l_ = left.select("*", *[left[_q(k)].alias(f"__l{i}") for i, k in enumerate(left_keys)])
     condition = [F.col(f"__l{i}") == F.col(a) for i, a in enumerate(inner_key)]
     out = l_.join(r, condition, kind)
     if kind in ("left_semi", "left_anti"):
-        return out.select(*left.columns)
+        return out.select(*[F.col(_q(c)) for c in left.columns])
     columns = []
     for c in left.columns:
         if same and c in left_keys and kind in ("right", "full"):
@@ -64,38 +65,87 @@ def join(left: DataFrame, right: DataFrame, on=None, how: str = "inner", *, left
     return out.select(*columns)
 
 
-def join_asof(left: DataFrame, right: DataFrame, on: str, by=None, *, right_suffix: str = "_right") -> DataFrame:
+def join_asof(left: DataFrame, right: DataFrame, on: str, by=None, *, right_suffix: str = "_right", slices: int | None = None) -> DataFrame:
     """Each left row with the latest right row of the same ``by`` whose ``on`` is not later (null if none).
 
-    One shuffle on ``by``: both sides are stacked, and the last right row seen is carried along in order of ``on``.
-    Of right rows with one ``on``, the largest by its other columns counts.
+    Both sides are stacked, and the last right row seen is carried along in order of ``on``. Of right rows with one ``on``,
+    the largest by its other columns counts. ``slices``: into how many ranges of ``on`` (a number or a time) each ``by`` is
+    split, so that no ``by`` has to fit one task; each range then starts with the last right row of those before, which
+    are one row a range. By default that is the number of shuffle partitions without ``by``, and one with it.
     """
     keys = _names(by)
+    ks = [f"__k{i}" for i in range(len(keys))]
     rest = [c for c in right.columns if c not in keys]
     taken = set(left.columns)
     name = {c: c + right_suffix if c in taken else c for c in rest}
-    l_ = left.select(F.struct("*").alias("l"), F.lit(None).cast(right.select(F.struct(*rest).alias("x")).schema["x"].dataType).alias("r"), *[left[k].alias(f"__k{i}") for i, k in enumerate(keys)], left[on].alias("__on"), F.lit(1).alias("__side"))
-    r = right.where(right[on].isNotNull()).select(F.lit(None).cast(left.select(F.struct("*").alias("x")).schema["x"].dataType).alias("l"), F.struct(*rest).alias("r"), *[right[k].alias(f"__k{i}") for i, k in enumerate(keys)], right[on].alias("__on"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__on", "__side", "r")
-    out = l_.unionByName(r).withColumn("__hit", F.last("r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
+    kind = lambda df, columns: df.select(F.struct(*[F.col(_q(c)) for c in columns]).alias("x")).schema["x"].dataType
+    none = lambda df, columns: F.lit(None).cast(kind(df, columns))
+    columns = lambda df: [df[_q(k)].alias(a) for k, a in zip(keys, ks, strict=True)]
+    l_ = left.select(F.struct(*[F.col(_q(c)) for c in left.columns]).alias("l"), none(right, rest).alias("r"), *columns(left), left[_q(on)].alias("__on"), F.lit(1).alias("__side"))
+    r = right.where(right[_q(on)].isNotNull()).select(none(left, left.columns).alias("l"), F.struct(*[F.col(_q(c)) for c in rest]).alias("r"), *columns(right), right[_q(on)].alias("__on"), F.lit(0).alias("__side"))
+    rows = l_.unionByName(r)
+    if slices is None:
+        slices = 1 if keys else int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if slices > 1 and not isinstance(rows.schema["__on"].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        slices = 1
+    if slices > 1:
+        cuts = rows.agg(F.percentile_approx("__on", [(i + 1) / slices for i in range(slices - 1)]).alias("__cuts"))
+        rows = rows.join(F.broadcast(cuts)).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col("__on")))).drop("__cuts")
+    else:
+        rows = rows.withColumn("__slice", F.lit(0))
+    w = Window.partitionBy(*ks, "__slice").orderBy("__on", "__side", "r")
+    out = rows.withColumn("__hit", F.last("r", ignorenulls=True).over(w))
+    if slices > 1:
+        last = rows.where("__side = 0").groupBy(*ks, "__slice").agg(F.max(F.struct("__on", "r")).alias("__m"))
+        # every range that a key may have, with the last row of those before
+        ranges = last.select(*ks).distinct().withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        same = [ranges[k].eqNullSafe(last[k]) for k in ks] + [ranges["__slice"] == last["__slice"]]
+        carried = ranges.join(last, same, "left").select(*[ranges[k].alias(f"{k}c") for k in ks], ranges["__slice"].alias("__slicec"), F.last("__m", ignorenulls=True).over(_before(ranges, ks)).alias("__carry"))
+        met = [F.col(k).eqNullSafe(F.col(f"{k}c")) for k in ks] + [F.col("__slice") == F.col("__slicec")]
+        out = out.where("__side = 1").join(carried if ks else F.broadcast(carried), met, "left").withColumn("__hit", F.coalesce("__hit", "__carry.r"))
     usable = F.col("__on").isNotNull()
-    for i in range(len(keys)):
-        usable = usable & F.col(f"__k{i}").isNotNull()
-    return out.select(*[F.col(f"l.{_q(c)}").alias(c) for c in left.columns], *[F.when(usable, F.col(f"__hit.{_q(c)}")).alias(name[c]) for c in rest])
+    for k in ks:
+        usable = usable & F.col(k).isNotNull()
+    return out.where("__side = 1").select(*[F.col(f"l.{_q(c)}").alias(c) for c in left.columns], *[F.when(usable, F.col(f"__hit.{_q(c)}")).alias(name[c]) for c in rest])
+
+
+def _before(ranges: DataFrame, keys: list[str]):
+    """The ranges before, over the columns of ``ranges`` where a join has others of the same names."""
+    return Window.partitionBy(*[ranges[k] for k in keys]).orderBy(ranges["__slice"]).rowsBetween(Window.unboundedPreceding, -1)
+
+
+#: How much wider each level of a range join's buckets is than the one before.
+WIDER = 16
 
 
 def join_range(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
-    """Left rows with ``start <= point < end`` of right rows: an equi-join on buckets of ``width``, then the exact test.
+    """Left rows with ``start <= point < end`` of right rows: an equi-join on buckets, then the exact test.
 
-    Right intervals are copied to each bucket that they touch; ``width`` near the usual interval length keeps that near two.
+    Buckets of ``width`` (near the usual interval length) are for intervals up to a few widths; longer ones go to buckets that
+    are 16, 256, … times as wide, so no interval is copied to more than 17 buckets. Points look in the levels that are in use.
     """
     if how not in ("inner", "left"):
         raise ValueError("a range join is inner or left")
-    bucket = lambda c: F.floor(c.cast("double") / F.lit(float(width)))
-    r = right.where((right[start] < right[end])).withColumn("__b", F.explode(F.sequence(bucket(right[start]), bucket(right[end]))))
-    l_ = left.withColumn("__lb", bucket(left[point]))
-    on = (l_["__lb"] == r["__b"]) & (l_[point] >= r[start]) & (l_[point] < r[end])
-    return l_.join(r, on, how).drop("__b", "__lb")
+    at, a, b = (df[_q(c)] for df, c in ((left, point), (right, start), (right, end)))
+    wide = lambda level: F.lit(float(width)) * F.pow(F.lit(float(WIDER)), level)
+    bucket = lambda c, level: F.floor(c.cast("double") / wide(level))
+    length = (b.cast("double") - a.cast("double")) / F.lit(float(width))
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(WIDER), F.greatest(length, F.lit(1.0)))) - 1).cast("int")
+    r = right.where(a < b).withColumn("__level", level)
+    levels = r.agg(F.sort_array(F.collect_set("__level")).alias("x")).select(F.when(F.size("x") > 0, F.col("x")).otherwise(F.array(F.lit(0))).alias("__levels"))
+    r = r.withColumn("__b", F.explode(F.sequence(bucket(a, F.col("__level")), bucket(b, F.col("__level")))))
+    own = left.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else left
+    points = own.join(F.broadcast(levels)).withColumn("__ll", F.explode("__levels")).drop("__levels")
+    points = points.withColumn("__lb", bucket(points[_q(point)], F.col("__ll")))
+    on = (points["__ll"] == r["__level"]) & (points["__lb"] == r["__b"]) & (points[_q(point)] >= r[_q(start)]) & (points[_q(point)] < r[_q(end)])
+    if how == "inner":
+        return points.join(r, on).drop("__ll", "__lb", "__row", "__level", "__b")
+    # a row for each point without any interval, from one of its levels
+    kept = points.join(r, on, "left")
+    kept = kept.withColumn("__hit", F.col("__b").isNotNull())
+    w = Window.partitionBy("__row")
+    kept = kept.withColumn("__any", F.max("__hit").over(w)).withColumn("__least", F.min("__ll").over(w))
+    return kept.where(F.col("__hit") | (~F.col("__any") & (F.col("__ll") == F.col("__least")))).drop("__ll", "__lb", "__row", "__level", "__b", "__hit", "__any", "__least")
 
 
 def _names(on) -> list[str]:

@@ -26,3 +26,19 @@ def top_k(df: DataFrame, k: int, by, per=None) -> DataFrame:
     keys = [per] if isinstance(per, str) else list(per)
     w = Window.partitionBy(*[df[c] for c in keys]).orderBy(*order_columns(df, by))
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
+
+
+def with_window(df: DataFrame, name: str, expression: str, partition_by=(), order_by=(), rows=None, range_=None) -> DataFrame:
+    """``df`` with ``expression`` over a window. One shuffle by ``partition_by``; without it all rows go through one task."""
+    if rows is not None and range_ is not None:
+        raise ValueError("give rows or range_, not both")
+    keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    w = Window.partitionBy(*[df[k] for k in keys])
+    if order_by:
+        w = w.orderBy(*order_columns(df, order_by))
+    edge = lambda x, unbounded: unbounded if x is None else x
+    if rows is not None:
+        w = w.rowsBetween(edge(rows[0], Window.unboundedPreceding), edge(rows[1], Window.unboundedFollowing))
+    if range_ is not None:
+        w = w.rangeBetween(edge(range_[0], Window.unboundedPreceding), edge(range_[1], Window.unboundedFollowing))
+    return df.withColumn(name, F.expr(expression).over(w))

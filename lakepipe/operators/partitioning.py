@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lakepipe.operators.ordering import order_columns
+
 PARTITION_ID = "__partition_id"
 
 
@@ -29,6 +31,14 @@ class HashPartitionSpec:
     n_partitions: int = 0
 
 
+@dataclass(frozen=True)
+class RangePartitionSpec:
+    """Ranges of the keys in order (``-key`` for descending), of about as many rows each."""
+
+    keys: list[str] = field(default_factory=list)
+    n_partitions: int = 0
+
+
 @dataclass(frozen=True)
 class UserDefinedPartitionSpec:
     """``fn(RecordBatch)`` gives an integer for each row; it counts modulo ``n_partitions``, so no row is lost."""
@@ -45,6 +55,10 @@ def repartition(df: DataFrame, spec) -> DataFrame:
             raise ValueError("hash partitioning needs a key")
         keys = [df[k] for k in spec.keys]
         return df.repartition(spec.n_partitions, *keys) if spec.n_partitions else df.repartition(*keys)
+    if isinstance(spec, RangePartitionSpec):
+        if not spec.keys:
+            raise ValueError("range partitioning needs a key")
+        return df.repartitionByRange(spec.n_partitions or _default(df), *order_columns(df, spec.keys))
     if isinstance(spec, UserDefinedPartitionSpec):
         return _by_function(df, spec)
     raise NotImplementedError(f"unknown partition spec: {type(spec).__name__}")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import threading
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from lakepipe import sources
+from lakepipe import shared, sources
 from lakepipe.frame import DataFrame, sql_over
+from lakepipe.operators import udf
 from lakepipe.telemetry import JobEvent, JsonLinesSink, StateObserver
 
 
@@ -90,6 +89,16 @@ class Session:
     def read_csv(self, path, n_partitions: int | None = None, filesystem: str | None = None, delimiter: str = ",", has_header: bool = True, schema=None, **options) -> DataFrame:
         return self._frame(sources.read_csv(self.spark, path, n_partitions, filesystem, delimiter, has_header, schema, **options))
 
+    def read_json(self, path, n_partitions: int | None = None, filesystem: str | None = None, schema=None, **options) -> DataFrame:
+        """A JSON object a line."""
+        return self._frame(sources.read_files(self.spark, "json", path, n_partitions, filesystem, schema, **options))
+
+    def read_orc(self, path, n_partitions: int | None = None, filesystem: str | None = None, schema=None) -> DataFrame:
+        return self._frame(sources.read_files(self.spark, "orc", path, n_partitions, filesystem, schema))
+
+    def read_jdbc(self, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, n_partitions: int = 8, **properties) -> DataFrame:
+        return self._frame(sources.read_jdbc(self.spark, url, table, column, bounds, n_partitions, **properties))
+
     def read_delta(self, path: str, filesystem: str | None = None, version: int | None = None) -> DataFrame:
         return self._frame(sources.read_delta(self.spark, path, filesystem, version))
 
@@ -115,6 +124,16 @@ class Session:
         out = sql_over(self.spark, query, {k: f.spark_frame for k, f in frames.items()})
         return DataFrame(out, self, tuple(f._flush for f in frames.values() if f._pending))
 
+    def register_function(self, name: str, fn: Callable, returns: str, vectorized: bool = False) -> None:
+        """``fn`` as a function in SQL and expressions. It gets a value of each argument, or with ``vectorized`` an Arrow array of
+        each (and gives one); ``returns`` is the type of the result, as in SQL."""
+        self.spark.udf.register(name, udf.vectorized(fn if vectorized else udf.by_value(fn), returns))
+
+    def register_aggregate(self, name: str, fn: Callable, returns: str) -> None:
+        """``fn`` as an aggregate in SQL, expressions and agg(): it gets an Arrow array of each argument, all values of a group, and
+        gives one value. A group has to fit in a task, and rows are shuffled as they are; built-in aggregates need neither."""
+        self.spark.udf.register(name, udf.grouped(fn, returns))
+
     # ---- streams
 
     def read_stream(self, source, batch_size: int = 100, n_partitions: int = 1, partition_by=None, partition_fn=None):
@@ -168,9 +187,9 @@ class Session:
 
     @property
     def temp_dir(self) -> str:
-        """A folder of the driver's, made when first asked for; streams land polled batches in it."""
+        """A folder that the driver and the executors share, named when first asked for: streams land polled batches in it."""
         if self._temp is None:
-            self._temp = tempfile.mkdtemp(prefix="lakepipe-")
+            self._temp = shared.folder(self.spark)
         return self._temp
 
     def stop(self) -> None:
@@ -180,7 +199,7 @@ class Session:
         self.disable_telemetry()
         GlobalContext.forget(self)
         if self._own_temp and self._temp:
-            shutil.rmtree(self._temp, ignore_errors=True)
+            shared.remove(self.spark, self._temp)
         if self._own:
             self.spark.stop()
 

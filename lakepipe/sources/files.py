@@ -61,6 +61,8 @@ def _layout(spark: SparkSession, paths: list[str], suffix: str) -> dict:
                     files = True
     if not (files or nested or hive):
         raise ValueError(f"no {suffix} files found at {', '.join(paths)}")
+    if nested and hive:
+        raise ValueError(f"key=value folders and other folders side by side at {', '.join(paths)}; read them one by one")
     return {"recursiveFileLookup": "true"} if nested and not hive else {}
 
 
@@ -98,6 +100,26 @@ def read_csv(spark: SparkSession, path, n_partitions: int | None = None, filesys
     return _dealt(_load(spark, reader, "csv", paths), n_partitions)
 
 
+def read_files(spark: SparkSession, form: str, path, n_partitions: int | None = None, filesystem: str | None = None, schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """As read_parquet, of any file format of Spark's (``json`` objects a line, ``orc``, ``text``, …)."""
+    paths = _paths(path, filesystem)
+    reader = spark.read.options(**_layout(spark, paths, form), **options)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return _dealt(_load(spark, reader, form, paths), n_partitions)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, n_partitions: int = 8, **properties) -> DataFrame:
+    """A table of a database, read in ``n_partitions`` ranges of ``column`` between ``bounds`` (rows outside go to the first and
+    last range). Filters and columns reach the database. Needs its driver on the class path."""
+    reader = spark.read.options(url=url, dbtable=table, **{k: str(v) for k, v in properties.items()})
+    if column is not None:
+        if bounds is None:
+            raise ValueError("a column to split by needs bounds")
+        reader = reader.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(n_partitions))
+    return _connector(reader, "jdbc", lambda r: r.load())
+
+
 def schema_of_parquet(spark: SparkSession, path: str, filesystem: str | None = None) -> T.StructType:
     """From the footers; no rows are read."""
     return read_parquet(spark, path, filesystem=filesystem).schema
@@ -107,7 +129,7 @@ def _connector(reader, form: str, load) -> DataFrame:
     try:
         return load(reader.format(form))
     except Exception as e:
-        if re.search(r"DATA_SOURCE_NOT_FOUND|Failed to find data source|ClassNotFound", str(e)):
+        if re.search(r"DATA_SOURCE_NOT_FOUND|Failed to find data source|ClassNotFound|No suitable driver", str(e)):
             raise ConnectorMissing(f"Spark's {form} connector is not on the class path; add its package to spark.jars.packages") from e
         raise
 

@@ -26,3 +26,10 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partiti
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", include_header: bool = True) -> None:
     df.write.mode("append").options(sep=delimiter, header=str(include_header).lower()).csv(path)
+
+
+def write_files(df: DataFrame, form: str, path: str, partition_cols=None, **options) -> None:
+    """In any format of Spark's; folders as write_parquet makes them."""
+    cols = list(partition_cols or [])
+    writer = (df.hint("rebalance", *[F.col(c) for c in cols]) if cols else df).write.mode("append").format(form).options(**options)
+    (writer.partitionBy(*cols) if cols else writer).save(path)

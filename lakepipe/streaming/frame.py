@@ -6,7 +6,6 @@ follows it run on the batch. Totals that outlive a batch: ``windowed`` and ``ded
 
 from __future__ import annotations
 
-import os
 import threading
 import uuid
 from collections.abc import Callable
@@ -52,6 +51,7 @@ class StreamingDataFrame:
         self._session, self._inputs, self._batch_size, self._spec = session, tuple(inputs), batch_size, spec
         self._steps, self._sinks, self._stateful = tuple(steps), tuple(sinks), stateful
         self._query = None
+        self._failure: Exception | None = None
         self._landings: list[Landing] = []
 
     @classmethod
@@ -159,23 +159,31 @@ class StreamingDataFrame:
         """Starts in the background. ``available_now``: takes what is there and ends.
 
         ``checkpoint``: a folder that makes the query go on where it ended. ``error_handler`` gets the error of a batch,
-        which is then given up; without it the query ends with the error.
+        which is then given up, and those of a polled source, which is then polled on; without it the query ends with the
+        error, which run(), process_available() and stop() raise.
         """
         if not self._sinks:
             raise ValueError("a stream needs a sink")
         if self._query is not None:
             raise RuntimeError("already started")
         spark, frames = self._session.spark, []
+
+        def failed(e: Exception) -> bool:
+            if error_handler is not None:
+                error_handler(e)
+                return True
+            self._failure = e
+            if self._query is not None:
+                self._query.stop()
+            return False
+
         for x in self._inputs:
             if isinstance(x, StreamingSource):
-                landing = Landing(x, os.path.join(self._session.temp_dir, f"landing-{uuid.uuid4().hex}"), self._batch_size, min(batch_interval, 0.1))
+                landing = Landing(spark, x, f"{self._session.temp_dir}/landing-{uuid.uuid4().hex}", self._batch_size, min(batch_interval, 0.1), failed)
                 self._landings.append(landing)
                 if available_now:
-                    while landing.land():
-                        pass
-                else:
-                    landing.start()
-                frames.append(landing.frame(spark))
+                    landing.land_all()
+                frames.append(landing.frame())
             else:
                 frames.append(x)
         df = self.spark_frame(frames)
@@ -206,11 +214,14 @@ class StreamingDataFrame:
                     raise
                 error_handler(e)
 
-        writer = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or os.path.join(self._session.temp_dir, f"stream-{uuid.uuid4().hex}"))
+        writer = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{self._session.temp_dir}/stream-{uuid.uuid4().hex}")
         if self._stateful:
             writer = writer.outputMode("append")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(1, round(batch_interval * 1000))} milliseconds")
         self._query = writer.start()
+        if not available_now:
+            for landing in self._landings:
+                landing.start()
         return self
 
     def run(self, batch_interval: float = 1.0, **how) -> StreamingDataFrame:
@@ -233,7 +244,14 @@ class StreamingDataFrame:
 
     def process_available(self) -> None:
         """Waits until all that has landed is through."""
-        self._query.processAllAvailable()
+        if self._failure is None:
+            self._query.processAllAvailable()
+        self._raise()
+
+    def _raise(self) -> None:
+        failure, self._failure = self._failure, None
+        if failure is not None:
+            raise failure
 
     def stop(self, drain: bool = True) -> None:
         """Stops polling, finishes what has landed (with ``drain``), ends the query, closes sources and sinks."""
@@ -250,6 +268,7 @@ class StreamingDataFrame:
                     x.close()
             for s in self._sinks:
                 s.close()
+        self._raise()
 
     def write_stdio(self, label: str = "", max_rows: int = 20, batch_interval: float = 1.0, **how) -> StreamingDataFrame:
         return self.to(StdioSink(label, max_rows)).run(batch_interval, **how)

@@ -1,25 +1,26 @@
 """Where streams come from.
 
 Spark's own streaming frames (files, Kafka) are used as they are. A polled Python source is landed: a driver thread
-writes each batch as a Parquet file, and Spark's file stream reads the folder, so batches can be replayed and the
-source need not be pickled.
+writes each batch as a Parquet file to a shared folder, and Spark's file stream reads it, so batches can be replayed and
+the source need not be pickled.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import queue
 import threading
 import time
 import uuid
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakepipe import shared
 from lakepipe.operators.udf import spark_schema
 from lakepipe.sources.files import ConnectorMissing
 
@@ -166,41 +167,56 @@ def kafka_stream(spark: SparkSession, topic: str, bootstrap_servers: str, schema
 
 
 class Landing:
-    """A thread that polls a source and lands each batch as one file of ``folder``."""
+    """A thread that polls a source and lands each batch as one file of ``folder``, which the executors see too.
 
-    def __init__(self, source: StreamingSource, folder: str, batch_size: int, interval: float) -> None:
-        self.source, self.folder, self.batch_size, self.interval = source, folder, batch_size, interval
-        self.error: Exception | None = None
+    ``on_error`` is told of an error of the source, and says whether to go on polling.
+    """
+
+    def __init__(self, spark: SparkSession, source: StreamingSource, folder: str, batch_size: int, interval: float, on_error: Callable[[Exception], bool]) -> None:
+        self.spark, self.source, self.folder, self.batch_size, self.interval, self.on_error = spark, source, folder, batch_size, interval, on_error
         self._stop = threading.Event()
-        os.makedirs(folder, exist_ok=True)
+        shared.make(spark, folder)
         self._thread = threading.Thread(target=self._run, daemon=True)
 
     def start(self) -> None:
         self._thread.start()
 
     def land(self) -> bool:
+        """Whether there was a batch."""
         batch = self.source.poll(self.batch_size)
         if batch is None or not batch.num_rows:
             return False
-        hidden = os.path.join(self.folder, f".{uuid.uuid4().hex}")
-        pq.write_table(pa.Table.from_batches([batch]), hidden)
-        os.replace(hidden, os.path.join(self.folder, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.parquet"))
+        data = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_batches([batch]), data)
+        shared.put(self.spark, self.folder, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.parquet", data.getvalue().to_pybytes())
         return True
 
+    def land_all(self) -> None:
+        """What there is now, on this thread."""
+        while True:
+            try:
+                if not self.land():
+                    return
+            except Exception as e:  # noqa: BLE001
+                if not self.on_error(e):
+                    raise
+                return
+
     def _run(self) -> None:
         while not self._stop.is_set():
+            landed = False
             try:
                 landed = self.land()
             except Exception as e:  # noqa: BLE001
-                self.error = e
-                return
+                if not self.on_error(e):
+                    return
             if not landed:
                 self._stop.wait(self.interval)
 
     def stop(self) -> None:
         self._stop.set()
-        if self._thread.is_alive():
+        if self._thread.is_alive() and self._thread is not threading.current_thread():
             self._thread.join(10)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.readStream.schema(spark_schema(self.source.schema)).option("maxFilesPerTrigger", 1).parquet(self.folder)
+    def frame(self) -> DataFrame:
+        return self.spark.readStream.schema(spark_schema(self.source.schema)).option("maxFilesPerTrigger", 1).parquet(self.folder)

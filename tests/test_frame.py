@@ -1,8 +1,9 @@
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from lakepipe import GlobalContext, HashPartitionSpec, Session, UserDefinedPartitionSpec
+from lakepipe import GlobalContext, HashPartitionSpec, RangePartitionSpec, Session, UserDefinedPartitionSpec
 from lakepipe.functions import aggregate_column, check_dialect
 from lakepipe.sources.files import ConnectorMissing, uri
 
@@ -49,13 +50,58 @@ def test_functions(people, session):
     empty = people.filter("id > 99")
     assert empty.map(lambda r: r, output_schema=empty.schema).count() == 0
     with pytest.raises(ValueError, match="output_schema"):
-        empty.map(lambda r: r)
+        empty.map(lambda r: r).count()
     with pytest.raises(ValueError, match="only nulls"):
-        people.map(lambda r: {"x": None})
+        people.map(lambda r: {"x": None}).columns
     with pytest.raises(ValueError):
         people.map_batches(lambda b: b, batch_size=0)
 
 
+def test_functions_are_tried_when_their_frame_is_used(session, people):
+    calls = session.spark.sparkContext.accumulator(0)
+
+    def counted(r):
+        calls.add(1)
+        return {"id": r["id"] + 1}
+
+    late = people.map(counted).filter("id > 3").select("id").union(people.select("id"))
+    assert calls.value == 0  # no job for a plan
+    assert late.count() == 8 and calls.value > 0
+
+
+def test_what_a_function_gives_later_is_held_to_its_schema(session):
+    many = session.from_spark(session.spark.range(0, 200, 1, 1))
+    grown = many.map(lambda r: {"id": r["id"]} | ({"late": 1} if r["id"] > 100 else {}))
+    assert grown.columns == ["id"]
+    cases = [
+        grown,
+        many.map(lambda r: {"x": r["id"] if r["id"] < 100 else r["id"] + 0.5}),
+        many.map(lambda r: {"x": r["id"] if r["id"] < 100 else "12"}),
+        many.flatmap(lambda r: [{"x": True if r["id"] < 100 else 3}]),
+        many.map_batches(lambda b: b if b.column("id")[0].as_py() == 0 else b.rename_columns(["other"]), batch_size=64),
+        many.map_batches(lambda b: b if b.column("id")[0].as_py() == 0 else pa.record_batch({"id": ["x"] * b.num_rows}), batch_size=64),
+    ]
+    for df in cases:
+        with pytest.raises(Exception, match="output_schema|several types"):
+            df.to_arrow()
+    # numbers that fit, and nulls, are no change of type
+    assert many.map(lambda r: {"x": r["id"] * 1.0 if r["id"] < 100 else r["id"]}).sql("SELECT sum(x) AS s FROM this").to_arrow().to_pylist() == [{"s": 19900.0}]
+    assert many.map(lambda r: {"x": r["id"] if r["id"] % 2 == 0 else None}, output_schema="x long").filter("x IS NULL").count() == 100
+    assert many.map(lambda r: {"x": [r["id"]], "y": {"a": str(r["id"])}}).filter("y.a = '7' AND x[0] = 7").count() == 1
+
+
+def test_functions_in_sql(session, people):
+    session.register_function("plus", lambda a, b: None if a is None else a + b, "bigint")
+    session.register_function("doubled", lambda a: pc.multiply(a, 2), "bigint", vectorized=True)
+    session.register_aggregate("spread", lambda x: pc.max(x).as_py() - pc.min(x).as_py(), "bigint")
+    assert people.filter("id < 3").select("plus(id, age) AS p", "doubled(id) AS d").to_arrow().to_pylist() == [{"p": 31, "d": 2}, {"p": 27, "d": 4}]
+    assert people.sql("SELECT spread(age) AS s FROM this").to_arrow().to_pylist() == [{"s": 13}]
+    assert rows(people.with_column("odd", "id % 2").groupby("odd").agg({"age": "spread"})) == [{"odd": 0, "age": 3}, {"odd": 1, "age": 13}]
+    session.register_function("wrong", lambda a: "x", "bigint")
+    with pytest.raises(Exception, match="wrong|function gave"):
+        people.select("wrong(id) AS w").to_arrow()
+
+
 def test_naive_timestamps_stay_naive(session):
     import datetime
 
@@ -131,6 +177,71 @@ def test_asof_and_range(session):
     assert sorted((r["t"], r["n"]) for r in got.to_arrow().to_pylist()) == [(1, 1), (5, 2)]
 
 
+def slow_asof(a, b, by):
+    out = []
+    for x in a:
+        found = [y for y in b if x["t"] is not None and y["t"] is not None and y["t"] <= x["t"] and (not by or (x["k"] is not None and x["k"] == y["k"]))]
+        out.append((x["n"], max(found, key=lambda y: (y["t"], y["p"]))["p"] if found else None))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("by, slices", [(None, None), (None, 7), (None, 1), ("k", None), ("k", 5)])
+def test_asof_in_slices(session, by, slices):
+    import random
+
+    rng = random.Random(3)
+    # most rows have one key; times repeat, and some are missing
+    a = [{"n": i, "t": rng.choice([None, *range(40)]), "k": rng.choice(["hot"] * 8 + ["x", "y", None])} for i in range(150)]
+    b = [{"t": rng.choice([None, *range(5, 30)]), "k": rng.choice(["hot"] * 8 + ["x", None]), "p": i} for i in range(60)]
+    types = {"n": pa.int64(), "t": pa.int64(), "k": pa.string(), "p": pa.int64()}
+    frame = lambda rows: session.from_arrow(pa.Table.from_pylist(rows, schema=pa.schema([(c, types[c]) for c in rows[0]])), n_partitions=3)
+    right = frame(b) if by else frame(b).drop("k")
+    got = frame(a).join_asof(right, "t", by, slices=slices)
+    assert sorted((r["n"], r["p"]) for r in got.to_arrow().to_pylist()) == slow_asof(a, b, by)
+    if by is None and slices != 1:
+        assert "SinglePartition" not in "".join(x for x in got.explain("physical").split("\n") if "__side" in x and "Exchange" in x)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_ranges_of_all_lengths(session, how):
+    points = session.from_arrow(pa.table({"p": [0.0, 1.5, 7.0, 99.0, 5000.0, -3.0, None]}))
+    lo, hi = [0.0, 1.0, -1e9, 50.0, 3.0, 9.0], [1.0, 2.0, 1e9, 6000.0, 3.0, 4.0]
+    spans = session.from_arrow(pa.table({"lo": lo, "hi": hi, "n": list(range(6))}))
+    got = points.join_range(spans, "p", "lo", "hi", 1.0, how)
+    want = [(p, n) for p in (0.0, 1.5, 7.0, 99.0, 5000.0, -3.0) for n in range(6) if lo[n] <= p < hi[n]] + ([(None, None)] if how == "left" else [])
+    assert sorted(((r["p"], r["n"]) for r in got.to_arrow().to_pylist()), key=str) == sorted(want, key=str)
+    none = points.join_range(spans.filter("n < 0"), "p", "lo", "hi", 1.0, how)
+    assert none.count() == (7 if how == "left" else 0)
+
+
+def test_names_with_dots(session):
+    a = session.from_arrow(pa.table({"a.b": [1, 2], "c": [3, 4]}))
+    b = session.from_arrow(pa.table({"a.b": [2], "d.e": [5]}))
+    assert a.join(b, "a.b", "semi").to_arrow().to_pylist() == [{"a.b": 2, "c": 4}] and a.join(b, "a.b", "anti").count() == 1
+    assert a.join(b, "a.b").to_arrow().to_pylist() == [{"a.b": 2, "c": 4, "d.e": 5}]
+    assert a.join_asof(b, "a.b").columns == ["a.b", "c", "a.b_right", "d.e"]
+
+
+def test_cross_join_offset_and_windows(session, people):
+    two = session.from_arrow(pa.table({"x": [1, 2]}))
+    assert people.cross_join(two).count() == 10
+    with pytest.raises(ValueError, match="both sides"):
+        people.cross_join(people)
+    assert people.sort("id").offset(3).to_arrow().column("id").to_pylist() == [4, 5]
+    w = people.with_column("odd", "id % 2").with_window("r", "rank()", "odd", "-age").with_window("before", "sum(age)", "odd", "id", rows=(None, -1)).with_window("near", "count(1)", "odd", "age", range_=(-5, 5))
+    assert [(r["id"], r["r"], r["before"], r["near"]) for r in rows(w.select("id", "r", "before", "near"))] == [(1, 2, None, 2), (2, 2, None, 2), (3, 1, 30, 2), (4, 1, 25, 2), (5, 3, 65, 1)]
+    with pytest.raises(ValueError):
+        people.with_window("r", "rank()", order_by="id", rows=(0, 0), range_=(0, 0))
+
+
+def test_ranges_as_partitions(session):
+    df = session.from_arrow(pa.table({"a": list(range(100))}))
+    p = df.repartition(partition_spec=RangePartitionSpec(["-a"], 4)).spark_frame.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).orderBy("p").collect()
+    assert len(p) == 4 and all(x["lo"] > y["hi"] for x, y in zip(p, p[1:], strict=False))
+    with pytest.raises(ValueError):
+        df.repartition(partition_spec=RangePartitionSpec())
+
+
 def test_partitions(session):
     df = session.from_arrow(pa.table({"a": list(range(100)), "key": [str(i % 7) for i in range(100)]}))
     assert df.repartition(4).n_partitions == 4
@@ -214,6 +325,51 @@ def test_a_pending_write_runs_through_later_steps(session, tmp_path, people):
     assert session.read_parquet(str(tmp_path / "w")).count() == 5
 
 
+def test_writes_of_both_sides_run(session, tmp_path, people):
+    other = session.from_arrow(pa.table({"id": [1], "t": [5]}))
+    ids = people.select("id")
+    ways = {
+        "union": lambda o: ids.union(o.select("id")),
+        "intersect": lambda o: ids.intersect(o.select("id")),
+        "difference": lambda o: ids.difference(o.select("id")),
+        "asof": lambda o: ids.join_asof(o, "id"),
+        "range": lambda o: ids.join_range(o.select("id AS lo", "t AS hi"), "id", "lo", "hi", 4.0),
+        "cross": lambda o: ids.cross_join(o.rename({"id": "id2"})),
+        "join": lambda o: ids.join(o, "id"),
+        "sql": lambda o: session.sql("SELECT * FROM a JOIN b USING (id)", a=ids, b=o),
+    }
+    for name, way in ways.items():
+        path = tmp_path / name
+        way(other.write_parquet(str(path))).count()
+        assert session.read_parquet(str(path)).count() == 1, name
+
+
+def test_writes_run_once(session, tmp_path, people):
+    one = people.write_parquet(str(tmp_path / "a"))
+    two = one.write_parquet(str(tmp_path / "b"))
+    assert one.count() == two.count() == 5
+    assert session.read_parquet(str(tmp_path / "a")).count() == session.read_parquet(str(tmp_path / "b")).count() == 5
+
+
+def test_other_formats(session, tmp_path, people):
+    people.write_orc(str(tmp_path / "o"), partition_cols=["name"]).compute()
+    assert rows(session.read_orc(str(tmp_path / "o")).select(*people.columns)) == rows(people)
+    people.write_json(str(tmp_path / "j")).compute()
+    assert rows(session.read_json(str(tmp_path / "j")).select(*people.columns)) == rows(people)
+    assert session.read_json(str(tmp_path / "j"), schema="id long").columns == ["id"]
+    with pytest.raises(ConnectorMissing):
+        session.read_jdbc("jdbc:none://x", "t")
+    with pytest.raises(ValueError, match="bounds"):
+        session.read_jdbc("jdbc:none://x", "t", column="a")
+
+
+def test_mixed_folders(session, tmp_path, people):
+    people.spark_frame.write.parquet(str(tmp_path / "m" / "k=1"))
+    people.spark_frame.write.parquet(str(tmp_path / "m" / "deep" / "er"))
+    with pytest.raises(ValueError, match="side by side"):
+        session.read_parquet(str(tmp_path / "m"))
+
+
 def test_hive(session, tmp_path):
     df = session.from_arrow(pa.table({"id": [1, 2, 3, 4], "year": [2023, 2024, 2024, None], "region": ["us", "eu", "us", "us"]}))
     path = str(tmp_path / "h")

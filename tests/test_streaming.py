@@ -90,6 +90,48 @@ def test_background_errors_and_stop(session):
         s.start()
 
 
+class Broken(QueueSource):
+    """Fails at its second poll, and again at each third."""
+
+    polls = 0
+
+    def poll(self, batch_size):
+        self.polls += 1
+        if self.polls % 3 == 2:
+            raise OSError("gone")
+        return super().poll(batch_size)
+
+
+def test_errors_of_a_source(session):
+    def source():
+        b = Broken(SCHEMA)
+        b.put(*[{"g": "a", "v": i} for i in range(6)])
+        return b
+
+    # without a handler the query ends with the error
+    s = session.read_stream(source(), batch_size=1).to(CallbackSink(lambda t: None)).start(0.05)
+    with pytest.raises(OSError, match="gone"):
+        for _ in range(200):
+            s.process_available()
+            time.sleep(0.05)
+    assert not s._query.isActive
+    with pytest.raises(OSError, match="gone"):
+        session.read_stream(source(), batch_size=1).to(CallbackSink(lambda t: None)).run(available_now=True)
+    with pytest.raises(OSError, match="gone"):
+        session.read_stream(source(), batch_size=1).to(CallbackSink(lambda t: None)).run(0.05)
+    # with one it polls on
+    out, errors = [], []
+    s = session.read_stream(source(), batch_size=1).to(CallbackSink(lambda t: out.extend(t.column("v").to_pylist())))
+    thread = s.start_background(0.05, error_handler=errors.append)
+    for _ in range(300):
+        if len(out) == 6:
+            break
+        time.sleep(0.1)
+    s.stop()
+    thread.join(10)
+    assert sorted(out) == list(range(6)) and errors and isinstance(errors[0], OSError)
+
+
 def test_stdio(session, capsys):
     session.read_stream(queued(("a", 1), ("b", 2))).write_stdio("label", max_rows=1, available_now=True)
     printed = capsys.readouterr().out
