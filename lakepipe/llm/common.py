@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,20 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return back
 
 
+@contextmanager
+def bloom_joins(spark: SparkSession):
+    """In it, Spark filters the large side of a join by a Bloom filter of the other's keys (of 8 MB at most) before it shuffles.
+
+    The other side must be a table of written() with a comparison on its key (any; Spark wants a filter there to do so)."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

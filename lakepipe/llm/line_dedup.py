@@ -34,7 +34,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import dropped, identified, written
+from lakepipe.llm.common import bloom_joins, dropped, identified, written
 
 #: Token counts are kept in so many buckets: what the order of rarity costs in memory, whatever the corpus.
 BUCKETS = 1 << 17
@@ -168,8 +168,9 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     a, b = posts.alias("a"), posts.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & _possible("a", "b", threshold)
     some = written(a.join(b, on, "left_semi").select("id").distinct(), "candidates")
-    chosen = classes.join(some.hint("shuffle_hash"), "id", "left_semi")
-    sets = written(_with_sets(chosen, levels), "sets")
+    with bloom_joins(docs.sparkSession):
+        chosen = classes.join(some.where("id >= 0").hint("shuffle_hash"), "id", "left_semi")
+        sets = written(_with_sets(chosen, levels), "sets")
     dropped(some)
 
     # a few comparisons each, with the earliest holders of min-hash tokens
