@@ -98,6 +98,9 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 # ---- trees
 
+#: Rows that a node has at least.
+LEAST = 2
+
 
 def _grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, features: np.ndarray, n_bins: int, depth: int, path: tuple, found: set, least: int) -> None:
     """Adds the path of every node below the root to ``found``. A condition is (feature, bin, True for at most)."""
@@ -142,35 +145,42 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L1 penalty on all but the intercept, by accelerated proximal gradient steps."""
-    n, k = x.shape
-    beta, momentum, t = np.zeros(k + 1), np.zeros(k + 1), 1.0
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    beta[0] = momentum[0] = np.log(share / (1 - share))
-    v = np.ones(k + 1)
+def _lasso(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, penalty: float, start=None, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression of rows that ``weigh`` (0 or 1) with an L1 penalty on all but the intercept, by accelerated proximal
+    gradient steps from ``start`` on."""
+    n, k = weigh.sum(), x.shape[1]
+    beta = np.zeros(k + 1, dtype=np.float32)
+    if start is None:
+        share = np.clip((y * weigh).sum() / n, 1e-3, 1 - 1e-3)
+        beta[0] = np.log(share / (1 - share))
+    else:
+        beta[1:], beta[0] = start
+    momentum, t = beta.copy(), 1.0
+    v = np.ones(k + 1, dtype=np.float32)
     for _ in range(20):  # the largest curvature, by power iteration
-        u = v[0] + x @ v[1:]
-        v = np.concatenate([[u.sum()], x.T @ u])
+        u = (v[0] + x @ v[1:]) * weigh
+        v = np.concatenate([[u.sum()], u @ x])
         length = np.linalg.norm(v)
         v /= length
-    step = 4 * n / length
+    step = np.float32(3.6 * n / length)
     for _ in range(steps):
-        r = _sigmoid(momentum[0] + x @ momentum[1:]) - y
-        new = momentum - step * np.concatenate([[r.mean()], x.T @ r / n])
+        r = (_sigmoid(momentum[0] + x @ momentum[1:]) - y) * weigh
+        new = momentum - step * np.concatenate([[r.sum()], r @ x]) / n
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momentum = new + (t - 1) / nxt * (new - beta)
-        if np.abs(new - beta).max() < 1e-6:
-            beta = new
+        if ((momentum - new) @ (new - beta)) > 0:  # past the lowest point: without momentum from here
+            t, nxt = 1.0, 1.0
+        momentum = (new + np.float32((t - 1) / nxt) * (new - beta)).astype(np.float32)
+        moved = np.abs(new - beta).max()
+        beta, t = new.astype(np.float32), nxt
+        if moved < 1e-4:
             break
-        beta, t = new, nxt
-    return beta[1:], float(beta[0])
+    return beta[1:].astype(np.float64), float(beta[0])
 
 
-def _loss(p: np.ndarray, y: np.ndarray) -> float:
+def _losses(p: np.ndarray, y: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return -(y * np.log(p) + (1 - y) * np.log(1 - p))
 
 
 @dataclass(frozen=True)
@@ -205,46 +215,77 @@ class RuleEnsemble:
         return docs.withColumn("__statistics", _statistics(docs[text])).where(self.column("__statistics") >= 0.5).drop("__statistics")
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, n_bins: int = 32, seed: int = 7) -> RuleEnsemble:
-    """From a matrix of STATISTICS and 0/1 labels. The penalty is chosen on every fifth row."""
+#: Penalties that are tried, the strongest first.
+PENALTIES = (0.03, 0.01, 0.003, 0.001, 0.0003)
+
+
+def _folds(y: np.ndarray, n: int) -> np.ndarray:
+    """A fold for each row, each with its share of either label."""
+    fold = np.empty(len(y), dtype=np.int64)
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        fold[rows] = np.arange(len(rows)) % n
+    return fold
+
+
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, n_bins: int = 32, seed: int = 7, tree_rows: int = 4000, folds: int = 5) -> RuleEnsemble:
+    """From a matrix of STATISTICS and 0/1 labels.
+
+    Each tree is grown on up to ``tree_rows`` rows, drawn anew. The lasso is fitted without each of ``folds`` parts of the rows in
+    turn. The penalty is the strongest whose loss on the parts that were left out is within a standard error of the least, and
+    a rule weighs what it weighs on average over the folds, so that no single rows decide.
+    """
     if not len(y):
         return RuleEnsemble(0.0, ())
-    y = y.astype(np.float64)
+    y = y.astype(np.float32)
     if y.min() == y.max():
         return RuleEnsemble(3.0 if y[0] else -3.0, ())
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, n_bins + 1)[1:-1])) for f in range(x.shape[1])]
-    bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
-    hold = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    train = np.flatnonzero(~hold)
+    bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1).astype(np.int16)
     found: set = set()
     k = max(4, x.shape[1] // 2)
     for _ in range(trees):
-        rows = rng.choice(train, size=min(len(train), 4000), replace=True)
+        rows = rng.choice(len(y), size=min(len(y), tree_rows), replace=True)
         balance = np.where(y[rows] > 0, 1 / max(1, (y[rows] > 0).sum()), 1 / max(1, (y[rows] == 0).sum())) * len(rows) / 2
-        _grow(bins[rows], y[rows], balance, rng.choice(x.shape[1], size=k, replace=False), n_bins + 1, depth, (), found, max(2, len(rows) // 500))
+        _grow(bins[rows], y[rows], balance, rng.choice(x.shape[1], size=k, replace=False), n_bins + 1, depth, (), found, max(LEAST, len(rows) // 500))
     # a bound beyond the last cut holds for all rows
     paths = sorted(p for p in found if all(at < len(cuts[f]) for f, at, _ in p))
-    if not paths:
-        return RuleEnsemble(float(np.log(y.mean() / (1 - y.mean()))), ())
-    hits = np.ones((len(y), len(paths)), dtype=np.float64)
+    columns, seen = [], {}
     for j, p in enumerate(paths):
+        hit = np.ones(len(y), dtype=bool)
         for f, at, low in p:
-            hits[:, j] *= (bins[:, f] <= at) if low else (bins[:, f] > at)
-    seen: dict[bytes, int] = {}
-    for j in range(len(paths)):
-        if 0 < hits[:, j].sum() < len(y):
-            seen.setdefault(hits[:, j].tobytes(), j)
-    use = sorted(seen.values())
-    paths, hits = [paths[j] for j in use], hits[:, use]
-    best = None
-    for penalty in (0.03, 0.01, 0.003, 0.001, 0.0003):
-        w, b = _lasso(hits[train], y[train], penalty)
-        loss = _loss(_sigmoid(b + hits[hold] @ w), y[hold]) if hold.any() else penalty == 0.003
-        if best is None or (loss < best[0] - 1e-4 if hold.any() else loss):
-            best = (loss, w, b)
-    _, w, b = best
-    rules = [Rule(tuple((STATISTICS[f], float(cuts[f][at]), low) for f, at, low in p), float(v)) for p, v in zip(paths, w, strict=True) if abs(v) > 1e-4]
+            hit &= (bins[:, f] <= at) if low else (bins[:, f] > at)
+        if 0 < hit.sum() < len(y) and seen.setdefault(np.packbits(hit).tobytes(), j) == j:
+            columns.append((p, hit))
+    if not columns:
+        return RuleEnsemble(float(np.log(y.mean() / (1 - y.mean()))), ())
+    paths = [p for p, _ in columns]
+    hits = np.empty((len(y), len(paths)), dtype=np.float32)  # the one large table here
+    for j, (_, hit) in enumerate(columns):
+        hits[:, j] = hit
+    del columns, seen, bins
+    part = _folds(y, folds) if len(y) >= 2 * folds else np.zeros(len(y), np.int64)
+    parts = range(folds) if part.any() else (-1,)
+    loss = np.zeros((len(PENALTIES), len(y)))
+    models: list[list] = [[] for _ in PENALTIES]
+    for i in parts:
+        weigh = (part != i).astype(np.float32)
+        start = None
+        for j, penalty in enumerate(PENALTIES):
+            start = w, b = _lasso(hits, y, weigh, penalty, start)
+            models[j].append((w, b))
+            out = part == i
+            loss[j, out] = _losses(_sigmoid(b + hits[out] @ w), y[out])
+    if part.any():
+        mean = loss.mean(axis=1)
+        best = int(mean.argmin())
+        error = (loss[best]).std() / np.sqrt(len(y))
+        chosen = int(np.flatnonzero(mean <= mean[best] + error)[0])
+    else:
+        chosen = PENALTIES.index(0.003)
+    w, b = np.mean([w for w, _ in models[chosen]], axis=0), float(np.mean([b for _, b in models[chosen]]))
+    rules = [Rule(tuple((STATISTICS[f], float(cuts[f][at]), low) for f, at, low in p), float(v)) for p, v in zip(paths, w, strict=True) if abs(v) > 1e-3]
     return RuleEnsemble(b, tuple(rules))
 
 
