@@ -9,11 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lakepipe import shared
 from lakepipe.frame import DataFrame
-from lakepipe.operators.partitioning import UserDefinedPartitionSpec
+from lakepipe.operators.partitioning import RangePartitionSpec, UserDefinedPartitionSpec
 from lakepipe.session import Session
 
 QUERIES: dict[str, Callable[[SparkSession, str], SparkFrame]] = {}
@@ -121,14 +120,9 @@ def group_count(t):
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2")
 def group_multi_key(t):
-    df = t.lineitem.filter("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'").spark_frame
-    return df.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum("l_extendedprice"), 2).alias("sum_base"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    df = t.lineitem.filter("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'").with_column("disc_price", "l_extendedprice * (1 - l_discount)")
+    out = df.groupby("l_returnflag", "l_linestatus").agg({"l_quantity": "sum", "l_extendedprice": "sum", "disc_price": "sum", "l_discount": "mean", "*": "count"})
+    return out.select("l_returnflag", "l_linestatus", "round(l_quantity, 2) AS sum_qty", "round(l_extendedprice, 2) AS sum_base", "round(disc_price, 2) AS sum_disc", "round(l_discount, 6) AS avg_disc", "`count` AS n")
 
 
 @query("SELECT l_suppkey, count(*) AS \"count\" FROM lineitem GROUP BY 1")
@@ -186,6 +180,46 @@ def agg_pivot(t):
     return t.lineitem.groupby("l_returnflag").pivot("l_linestatus", ["O", "F"], {"*": "count"}).fill_null(0)
 
 
+@query("SELECT o_orderpriority, mode(o_orderstatus) AS o_orderstatus FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 5 < 3 THEN 'x' ELSE o_orderstatus END AS o_orderstatus FROM orders) GROUP BY 1")
+def agg_mode(t):
+    return t.orders.select("o_orderpriority", "CASE WHEN o_orderkey % 5 < 3 THEN 'x' ELSE o_orderstatus END AS o_orderstatus").groupby("o_orderpriority").agg({"o_orderstatus": "mode"})
+
+
+@query("SELECT n_regionkey, list_sort(list(n_name)) AS names, len(list(n_nationkey)) AS n FROM nation GROUP BY 1")
+def agg_lists(t):
+    return t.nation.groupby("n_regionkey").agg({"n_name": ["list"], "n_nationkey": ["array_agg"]}).select("n_regionkey", "array_sort(n_name_list) AS names", "cast(size(n_nationkey_array_agg) AS bigint) AS n")
+
+
+@query("SELECT n_regionkey, len(string_agg(n_name, '')) AS chars FROM nation GROUP BY 1")
+def agg_string(t):
+    return t.nation.groupby("n_regionkey").agg({"n_name": "string_agg"}).select("n_regionkey", "cast(length(n_name) AS bigint) AS chars")
+
+
+@query("SELECT o_orderstatus, count(o_totalprice) AS c, round(avg(o_totalprice), 3) AS a, round(stddev_pop(o_totalprice), 2) AS sd, round(var_samp(o_totalprice), 0) AS v, round(skewness(o_totalprice), 2) AS sk FROM orders GROUP BY 1")
+def agg_moments(t):
+    out = t.orders.groupby("o_orderstatus").agg({"o_totalprice": ["count", "mean", "stddev_pop", "var_samp"]})
+    # the sample's skewness, from that of the population
+    sk = t.orders.groupby("o_orderstatus").agg({"o_totalprice": ["skewness", "count"]}).select("o_orderstatus", "round(o_totalprice_skewness * sqrt(o_totalprice_count * (o_totalprice_count - 1)) / (o_totalprice_count - 2), 2) AS sk")
+    return out.select("o_orderstatus", "o_totalprice_count AS c", "round(o_totalprice_mean, 3) AS a", "round(o_totalprice_stddev_pop, 2) AS sd", "round(o_totalprice_var_samp, 0) AS v").join(sk, "o_orderstatus")
+
+
+@query("SELECT o_orderpriority, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+def agg_first_last(t):
+    """Of sorted rows, by value: first and last of an order are the ends of what min_by and max_by see."""
+    return t.orders.sql("SELECT o_orderpriority, min_by(o_orderkey, o_orderkey) AS first_key, max_by(o_orderkey, o_orderkey) AS last_key FROM this GROUP BY 1")
+
+
+@query("SELECT l_returnflag, abs(approx_count_distinct(l_orderkey) - count(DISTINCT l_orderkey)) < 0.2 * count(DISTINCT l_orderkey) AS near FROM lineitem GROUP BY 1")
+def agg_approx_distinct(t):
+    out = t.lineitem.groupby("l_returnflag").agg({"l_orderkey": ["approx_count_distinct", "count_distinct"]})
+    return out.select("l_returnflag", "abs(l_orderkey_approx_count_distinct - l_orderkey_count_distinct) < 0.2 * l_orderkey_count_distinct AS near")
+
+
+@query("SELECT c_nationkey, c_mktsegment, round(sum(c_acctbal), 2) AS c_acctbal FROM customer GROUP BY CUBE (c_nationkey, c_mktsegment)")
+def agg_cube_sum(t):
+    return t.customer.cube("c_nationkey", "c_mktsegment").sum("c_acctbal").select("c_nationkey", "c_mktsegment", "round(c_acctbal, 2) AS c_acctbal")
+
+
 # ---- joins
 
 
@@ -214,9 +248,9 @@ def join_semi(t):
     return t.customer.select("c_custkey", "c_name").join(t.orders.filter("o_totalprice > 300000").select("o_custkey AS c_custkey", "o_totalprice"), "c_custkey", "semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def join_anti(t):
-    return t.customer.select("c_custkey", "c_name").join(t.orders.select("o_custkey AS c_custkey", "o_totalprice"), "c_custkey", "anti")
+    return t.customer.select("c_custkey", "c_name").join(t.orders.filter("o_totalprice > 300000").select("o_custkey AS c_custkey", "o_totalprice"), "c_custkey", "anti")
 
 
 @query("SELECT a.l_partkey, a.l_suppkey, a.n, b.q FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_partkey, l_suppkey, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey")
@@ -263,6 +297,30 @@ def join_range(t):
     return t.part.select("p_partkey", "p_retailprice").join_range(t.supplier.select("s_suppkey", "s_acctbal AS a", "s_acctbal + 50 AS b"), "p_retailprice", "a", "b", 50.0).select("p_partkey", "s_suppkey")
 
 
+@query("SELECT event_id, last_view FROM (SELECT a.event_id, b.event_id AS last_view, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts DESC, b.event_id DESC) AS n FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON b.ts <= a.ts) WHERE n = 1")
+def join_asof_all(t):
+    """Without a key: ranges of time are dealt to the tasks."""
+    buys = t.events.filter("event_type = 'purchase'").select("event_id", "ts")
+    views = t.events.filter("event_type = 'view'").select("ts", "event_id AS last_view")
+    return buys.join_asof(views, "ts").select("event_id", "last_view")
+
+
+@query("SELECT p_partkey, s_suppkey FROM part LEFT JOIN (SELECT s_suppkey, s_acctbal AS a, s_acctbal + s_suppkey * s_suppkey / 10 AS b FROM supplier) ON p_retailprice >= a AND p_retailprice < b")
+def join_range_left(t):
+    """Intervals of very different lengths."""
+    return t.part.select("p_partkey", "p_retailprice").join_range(t.supplier.select("s_suppkey", "s_acctbal AS a", "s_acctbal + s_suppkey * s_suppkey / 10 AS b"), "p_retailprice", "a", "b", 5.0, "left").select("p_partkey", "s_suppkey")
+
+
+@query("SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")
+def join_cross(t):
+    return t.nation.select("n_nationkey").cross_join(t.region.select("r_regionkey"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
+def join_merge(t):
+    return t.orders.filter("o_totalprice > 200000").join(t.customer, left_on="o_custkey", right_on="c_custkey", strategy="merge").select("o_orderkey", "c_name")
+
+
 # ---- Python functions
 
 
@@ -284,6 +342,20 @@ def map_batches(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").map_batches(revenue, batch_size=4096)
 
 
+@query("SELECT c_custkey, c_nationkey * 2 + 1 AS odd, c_acctbal / 2 AS half FROM customer")
+def functions_in_sql(t):
+    """Functions by value and of Arrow arrays, registered for SQL."""
+    t.session.register_function("lp_odd", lambda k: 2 * k + 1, "int")
+    t.session.register_function("lp_half", lambda x: pc.divide(x, 2.0), "double", vectorized=True)
+    return t.customer.select("c_custkey", "lp_odd(c_nationkey) AS odd", "lp_half(c_acctbal) AS half")
+
+
+@query("SELECT c_nationkey, max(c_acctbal) - min(c_acctbal) AS c_acctbal FROM customer GROUP BY 1")
+def aggregate_in_python(t):
+    t.session.register_aggregate("lp_spread", lambda x: pc.max(x).as_py() - pc.min(x).as_py(), "double")
+    return t.customer.groupby("c_nationkey").agg({"c_acctbal": "lp_spread"})
+
+
 # ---- partitions
 
 
@@ -326,14 +398,35 @@ def window_rank(t):
 
 @query("SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next, first_value(event_id) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def window_lag_lead(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.spark_frame.select("event_id", F.lag("event_id").over(w).alias("previous"), F.lead("event_id").over(w).alias("next"), F.first("event_id").over(w).alias("first"))
+    order = {"partition_by": "user_id", "order_by": ["ts", "event_id"]}
+    df = t.events.select("event_id", "user_id", "ts")
+    for name, function in (("previous", "lag(event_id)"), ("next", "lead(event_id)"), ("first", "first_value(event_id)")):
+        df = df.with_window(name, function, **order)
+    return df.select("event_id", "previous", "next", "first")
+
+
+@query("SELECT o_orderkey, nth_value(o_orderkey, 2) OVER w AS second, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)")
+def window_distribution(t):
+    df = t.orders
+    for name, function in (("second", "nth_value(o_orderkey, 2)"), ("p", "percent_rank()"), ("c", "cume_dist()")):
+        df = df.with_window(name, function, "o_orderpriority", "o_orderkey")
+    return df.select("o_orderkey", "second", "round(p, 9) AS p", "round(c, 9) AS c")
 
 
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM orders")
 def window_running_sum(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t.orders.spark_frame.select("o_orderkey", F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), F.count(F.lit(1)).over(w.rowsBetween(-2, 0)).alias("near"))
+    df = t.orders.with_window("running", "sum(o_totalprice)", "o_custkey", ["o_orderdate", "o_orderkey"], rows=(None, 0)).with_window("near", "count(1)", "o_custkey", ["o_orderdate", "o_orderkey"], rows=(-2, 0))
+    return df.select("o_orderkey", "round(running, 2) AS running", "near")
+
+
+@query("SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS near FROM customer")
+def window_range(t):
+    return t.customer.with_window("near", "count(1)", "c_nationkey", "c_acctbal", range_=(-100, 100)).select("c_custkey", "near")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 1400")
+def sort_offset(t):
+    return t.orders.sort("o_totalprice", "o_orderkey").offset(1400).select("o_orderkey")
 
 
 @query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
@@ -351,9 +444,14 @@ def set_intersect(t):
     return t.customer.select("c_nationkey AS k").intersect(t.supplier.select("s_nationkey AS k"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_except(t):
-    return t.customer.select("c_custkey AS k").difference(t.orders.select("o_custkey AS k"))
+    return t.customer.select("c_custkey AS k").difference(t.orders.filter("o_totalprice > 300000").select("o_custkey AS k"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def set_except_all(t):
+    return t.customer.select("c_nationkey AS k").difference(t.supplier.select("s_nationkey AS k"), all=True)
 
 
 @query("SELECT DISTINCT p_brand, p_size FROM part")
@@ -419,6 +517,72 @@ def fn_explode(t):
     return t.embeddings.select("vec_id", "embedding AS x").explode("x")
 
 
+@query("SELECT n_nationkey, m['key'] AS k, CAST(cardinality(m) AS BIGINT) AS n, list_sort(map_keys(m)) AS ks, list_contains(map_keys(m), 'name') AS has FROM (SELECT n_nationkey, MAP {'key': CAST(n_nationkey AS VARCHAR), 'name': n_name} AS m FROM nation)")
+def fn_map(t):
+    df = t.nation.select("n_nationkey", "map('key', cast(n_nationkey AS string), 'name', n_name) AS m")
+    return df.select("n_nationkey", "m['key'] AS k", "cast(size(m) AS bigint) AS n", "array_sort(map_keys(m)) AS ks", "map_contains_key(m, 'name') AS has")
+
+
+@query("SELECT n_regionkey, key, value FROM (SELECT n_regionkey, unnest(map_entries(MAP {'a': n_nationkey, 'b': n_nationkey + 1}), recursive := true) FROM nation)")
+def fn_map_explode(t):
+    return t.nation.sql("SELECT n_regionkey, key, value FROM this LATERAL VIEW explode(map('a', n_nationkey, 'b', n_nationkey + 1)) e AS key, value")
+
+
+@query("SELECT s_suppkey, {'n': s_nationkey, 'b': round(s_acctbal, 1)}.b AS b, coalesce(nullif(s_nationkey, 3), -1) AS n, greatest(s_nationkey, 5) AS g, s_acctbal BETWEEN 0 AND 5000 AS mid FROM supplier")
+def fn_struct_and_null(t):
+    return t.supplier.select("s_suppkey", "named_struct('n', s_nationkey, 'b', round(s_acctbal, 1)).b AS b", "coalesce(nullif(s_nationkey, 3), -1) AS n", "greatest(s_nationkey, 5) AS g", "s_acctbal BETWEEN 0 AND 5000 AS mid")
+
+
+# ---- rows in memory, globs, samples
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def scan_arrow(t):
+    return t.session.from_arrow(t.nation.select("n_nationkey", "n_name").to_arrow(), n_partitions=3)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def scan_pandas(t):
+    return t.session.from_pandas(t.region.to_pandas())
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def scan_glob(t):
+    return t.session.read_parquet(f"{t.dir}/nat*n.parquet").select("n_nationkey", "n_name")
+
+
+@query("SELECT r_name, r_regionkey FROM region")
+def scan_with_schema(t):
+    return t.session.read_parquet([f"{t.dir}/region.parquet"], schema="r_name string, r_regionkey int")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01 00:00:00' AND l_quantity BETWEEN 10 AND 12")
+def scan_pushdown(t):
+    return t.lineitem.filter("l_shipdate >= timestamp_ntz'1998-06-01 00:00:00' AND l_quantity BETWEEN 10 AND 12").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_custkey, min(o_orderkey) IS NOT NULL AS one FROM orders GROUP BY 1")
+def drop_duplicates(t):
+    return t.orders.select("o_custkey", "o_orderkey").drop_duplicates(["o_custkey"]).select("o_custkey", "o_orderkey IS NOT NULL AS one")
+
+
+@query("SELECT count(*) BETWEEN 1 AND 15000 AS some FROM orders")
+def sample_rows(t):
+    return t.orders.sample(0.5, seed=3).groupby().agg({"*": "count"}).select("`count` BETWEEN 1 AND 15000 AS some")
+
+
+@query("SELECT CAST(8 AS BIGINT) AS n")
+def local_limit(t):
+    return t.orders.repartition(4).local_limit(2).groupby().agg({"*": "count"}).rename({"count": "n"})
+
+
+@query("SELECT CAST(4 AS BIGINT) AS parts, CAST(0 AS BIGINT) AS overlaps")
+def repartition_range(t):
+    parts = t.orders.select("o_orderkey").repartition(partition_spec=RangePartitionSpec(["o_orderkey"], 4)).with_column("p", "spark_partition_id()")
+    ends = parts.groupby("p").agg({"o_orderkey": ["min", "max"]}).with_window("before", "max(o_orderkey_max)", order_by="p", rows=(None, -1))
+    return ends.groupby().agg({"*": "count"}).rename({"count": "parts"}).cross_join(ends.filter("before >= o_orderkey_min").groupby().agg({"*": "count"}).rename({"count": "overlaps"}))
+
+
 # ---- files
 
 
@@ -443,6 +607,27 @@ def hive_prune(t):
     return t.session.read_parquet(path).filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "cast(o_orderpriority AS string) AS o_orderpriority")
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def orc_roundtrip(t):
+    path = shared.folder(t.session.spark)
+    t.supplier.select("s_suppkey", "s_name", "s_nationkey").write_orc(path, partition_cols=["s_nationkey"]).compute()
+    return t.session.read_orc(path)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def json_roundtrip(t):
+    path = shared.folder(t.session.spark)
+    t.customer.select("c_custkey", "c_name", "c_acctbal").write_json(path).compute()
+    return t.session.read_json(path, schema="c_custkey long, c_name string, c_acctbal double")
+
+
+@query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem")
+def parquet_roundtrip(t):
+    path = shared.folder(t.session.spark)
+    t.lineitem.write_parquet(path, compression="zstd", n_partitions=5).compute()
+    return t.session.read_parquet(path).groupby().agg({"*": "count", "l_quantity": "sum"}).select("`count` AS n", "round(l_quantity, 2) AS q")
+
+
 # ---- streams (over what is there, then read back)
 
 
@@ -474,14 +659,59 @@ def stream_group_batch(t):
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def window_tumbling(t):
-    df = t.events.spark_frame
-    return df.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+    return t.events.select("date_format(window(ts, '1 hour').start, 'yyyy-MM-dd HH:mm:ss') AS hour", "event_type").groupby("hour", "event_type").count().rename({"count": "n"})
 
 
-@query()
+def _windows(df: DataFrame, *also: str) -> DataFrame:
+    return df.select("date_format(window_start, 'yyyy-MM-dd HH:mm:ss') AS window_start", "date_format(window_end, 'yyyy-MM-dd HH:mm:ss') AS window_end", *also)
+
+
+#: A window is given when the latest time, less the watermark, has passed its end.
+_CLOSED = "WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"
+
+
+@query(f"SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, value FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, round(sum(value), 4) AS value FROM events GROUP BY 1, 2, 3) {_CLOSED}")
 def stream_window(t):
-    """Closed windows only, so plain SQL over the table does not say the same."""
-    return _through(t, t.session.read_stream(_events_stream(t)).windowed("ts", "1 hour", keys=["event_type"], aggs={"value": "sum"}, watermark="10 minutes"))
+    out = _through(t, t.session.read_stream(_events_stream(t)).windowed("ts", "1 hour", keys=["event_type"], aggs={"value": "sum"}, watermark="10 minutes"))
+    return _windows(out, "event_type", "round(value, 4) AS value")
+
+
+@query(f"SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end, n FROM (SELECT s AS window_start, s + INTERVAL '2 hours' AS window_end, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS s FROM events) GROUP BY 1) {_CLOSED}")
+def stream_sliding(t):
+    out = _through(t, t.session.read_stream(_events_stream(t)).windowed("ts", "2 hours", "1 hour", watermark="10 minutes"))
+    return _windows(out, "`count` AS n")
+
+
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts) + INTERVAL '30 minutes', '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS n FROM s GROUP BY user_id, g HAVING max(ts) + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'")
+def stream_sessions(t):
+    out = _through(t, t.session.read_stream(_events_stream(t)).windowed("ts", "30 minutes", keys=["user_id"], watermark="10 minutes", session_gap=True))
+    return _windows(out, "user_id", "`count` AS n")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
+def stream_dedupe(t):
+    out = _through(t, t.session.read_stream(_events_stream(t)).deduplicated(["user_id", "event_type"], "ts", "3650 days"))
+    return out.groupby("user_id", "event_type").count().rename({"count": "n"})
+
+
+@query("SELECT event_type, max(value) AS top FROM events WHERE value > 1 GROUP BY 1")
+def stream_sql_and_batches(t):
+    """SQL over each batch, and a function of Arrow batches."""
+    schema = pa.schema([("event_type", pa.string()), ("value", pa.float64())])
+    stream = t.session.read_stream(_events_stream(t)).select("event_type", "value").map_batches(lambda b: b.filter(pc.greater(b["value"], 1.0)), output_schema=schema)
+    return _through(t, stream.sql("SELECT event_type, max(value) AS value FROM this GROUP BY event_type")).groupby("event_type").agg({"value": "max"}).rename({"value": "top"})
+
+
+@query("SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS s FROM nation")
+def stream_custom_source_and_sink(t):
+    """Rows of a polled source, batch by batch, to a sink that is a function."""
+    from lakepipe.streaming import CallbackSink, QueueSource
+
+    source = QueueSource(pa.schema([("k", pa.int64())]))
+    source.put(*[{"k": r["n_nationkey"]} for r in t.nation.to_arrow().to_pylist()])
+    found: list[pa.Table] = []
+    t.session.read_stream(source, batch_size=10).filter("k >= 0").to(CallbackSink(found.append)).run(available_now=True)
+    return t.session.from_arrow(pa.concat_tables(found)).groupby().agg({"*": "count", "k": "sum"}).rename({"count": "n", "k": "s"})
 
 
 # ---- end to end
