@@ -3,16 +3,18 @@
 A vector's direction is written as a sum of one full-dimensional codeword from each of a few codebooks. Codebooks are fitted
 on a bounded sample, each on what the ones before leave over, then all together by least squares on the sample's codes. Every
 row is encoded by a beam search over the books; its code, its length and the length of its decoded direction are stored. A
-query's inner products with all codewords make lookup tables, whose sums estimate the inner product with any coded row; the
-best of each block are measured exactly, in double precision on the original vectors.
+query's inner products with all codewords make lookup tables, whose sums, scaled by the two stored lengths, estimate the
+inner product with any coded row. Each query's best by the estimate are then measured exactly, in double precision on the
+original vectors.
 
-Queries go in blocks of bounded size over the whole index, which is not shuffled: each task scans its rows block by block
-and keeps each query's best, and only those are merged. Rows with the same vector are estimated and measured once, so a
-vector that very many rows share crowds nothing out. Ties go to the smaller id.
+Queries go in blocks of bounded size over the whole index, which is not shuffled: each task scans its rows, ROW_BLOCK at a
+time, keeps one shortlist for each query, measures it, and only each query's best are merged. Rows with the same vector are
+estimated and measured once, so a vector that very many rows share crowds nothing out. Ties go to the smaller id.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id
-or of another length than most. An id with several vectors counts with the least of them. No rows: no rows. Other columns
-are not read.
+or of another length than most. Every other row is a candidate; rows of one id with different vectors are rows of their own
+(as queries too), those that agree in both are one. A query's own row is that of its id and vector. No rows: no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from lakepipe.llm.common import dropped, new_folder, written
 
 #: Queries that go over the index together; with the dimension this bounds what is sent to each task.
 QUERY_BLOCK = 4096
+#: Rows that a task holds, and has a shortlist of, at a time.
+ROW_BLOCK = 65_536
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,7 @@ class Quantiser:
     books: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, n_books: int = 12, n_words: int = 256, rounds: int = 6, seed: int = 5) -> Quantiser:
+    def fit(cls, x: np.ndarray, n_books: int = 24, n_words: int = 256, rounds: int = 6, seed: int = 5) -> Quantiser:
         """``x``: directions of length one."""
         rng = np.random.default_rng(seed)
         n_words = max(1, min(n_words, len(x)))
@@ -105,22 +109,65 @@ class Quantiser:
         return np.einsum("bwd,qd->bwq", self.books, queries.astype(np.float32), optimize=True).astype(np.float32)
 
 
-def estimate(tables: np.ndarray, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """(rows, queries): estimated inner products, by lookups."""
-    total = tables[0][codes[:, 0]]
+def estimate(tables: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """(rows, queries): estimated inner products, by lookups. ``scale``: length over decoded length."""
+    total = np.take(tables[0], codes[:, 0], axis=0)
+    found = np.empty_like(total)
     for b in range(1, len(tables)):
-        total += tables[b][codes[:, b]]
-    return total * length[:, None]
+        np.take(tables[b], codes[:, b], axis=0, out=found, mode="clip")
+        total += found
+    total *= scale[:, None]
+    return total
 
 
-def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, component by component in order, so that equal vectors get equal numbers wherever they stand."""
+def exact(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products of rows with queries, pair by pair, component by component in order, so that equal vectors get equal
+    numbers wherever they stand."""
     total = np.zeros(len(rows))
     for d in range(rows.shape[1]):
-        total += rows[:, d] * query[d]
+        total += rows[:, d] * queries[..., d]
     return total
 
 
+def _best(query: np.ndarray, item: np.ndarray, value: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the ``keep`` items of the largest value, then the smallest item; by query, in that order."""
+    order = np.lexsort((item, -value, query))
+    query, item, value = query[order], item[order], value[order]
+    starts = np.searchsorted(query, query)  # where each one's query begins
+    kept = np.arange(len(query)) - starts < keep
+    return query[kept], item[kept], value[kept]
+
+
+def _shortlist(tables: np.ndarray, codes: np.ndarray, scale: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the ``keep`` rows with the best estimates for each query."""
+    n = tables.shape[2]
+    out_q, out_r = [], []
+    for q0 in range(0, n, 256):  # queries and rows in pieces that stay in the processor's cache
+        part = np.ascontiguousarray(tables[:, :, q0 : q0 + 256])
+        width = part.shape[2]
+        least = np.full(width, -np.inf, dtype=np.float32)
+        found: tuple[list, list, list] = ([], [], [])
+        held = 0
+        for r0 in range(0, len(codes), 512):
+            guess = estimate(part, codes[r0 : r0 + 512], scale[r0 : r0 + 512])
+            rows, queries = np.nonzero(guess > least)
+            for x, y in zip(found, (queries, rows + r0, guess[rows, queries]), strict=True):
+                x.append(y)
+            held += len(rows)
+            if held > 3 * width * keep:
+                q, r, v = _best(*[np.concatenate(x) for x in found], keep)
+                found, held = ([q], [r], [v]), len(q)
+                count = np.bincount(q, minlength=width)
+                full = count >= keep
+                least[full] = v[np.cumsum(count) - 1][full]
+        if held:
+            q, r, _ = _best(*[np.concatenate(x) for x in found], keep)
+            out_q.append(q + q0)
+            out_r.append(r)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(out_q or [none]), np.concatenate(out_r or [none])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim).astype(np.float64)
 
@@ -134,13 +181,13 @@ class Index:
     dim: int
 
     def search(self, queries: DataFrame, k: int = 20, rerank: int = 300, own: bool = False) -> DataFrame:
-        """``queries``: query_id and vector. Gives query_id, rank, vec_id, score; ``own``: whether a query may find its own id.
+        """``queries``: query_id and vector. Gives query_id, rank, vec_id, score; ``own``: whether a query may find its own row.
 
-        ``rerank``: how many different vectors of each block are measured exactly for a query.
+        ``rerank``: how many different vectors of each ROW_BLOCK rows of a task are measured exactly for a query.
         """
         spark = queries.sparkSession
-        schema = "query_id long, vec_id long, score double"
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        schema = "query int, query_id long, vec_id long, score double"
+        best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
         n = queries.count() if self.quantiser is not None else 0
         blocks = math.ceil(n / (QUERY_BLOCK * 0.9)) if n > QUERY_BLOCK else 1
         out = new_folder(spark, "neighbours")
@@ -164,59 +211,75 @@ class Index:
         return found[-1]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ROW_BLOCK rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, ROW_BLOCK - rows)
+            held.append(part)
+            rows += part.num_rows
+            b = b.slice(part.num_rows)
+            if rows == ROW_BLOCK:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _scan(quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, dim: int, k: int, rerank: int, own: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
-        best: list[tuple[np.ndarray, np.ndarray]] = []  # for each query, ids and scores so far
-        for whole in batches:
-            for cut in range(0, whole.num_rows, 4096):
-                b = whole.slice(cut, 4096)
-                if tables is None:
-                    tables = quantiser.tables(vectors)
-                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-                vec_id = b.column("vec_id").to_numpy()
-                rows = _matrix(b.column("vector"), dim)
-                code = np.frombuffer(b"".join(b.column("code").to_pylist()), dtype="<u2").reshape(len(rows), -1)
-                # same vectors as one; their ids in order
-                order = np.lexsort((vec_id,))
-                _, first, group = np.unique(np.ascontiguousarray(rows[order]).view(f"V{dim * 8}").ravel(), return_index=True, return_inverse=True)
-                first = order[first]
-                sorted_ids = vec_id[order]
-                by_group = np.argsort(group, kind="stable")
-                starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-                length = b.column("length").to_numpy().astype(np.float32)[first]
-                take = min(rerank, len(first))
-                for q0 in range(0, len(ids), 256):
-                    guess = estimate(tables[:, :, q0 : q0 + 256], code[first], length)
-                    top = np.argpartition(-guess, take - 1, axis=0)[:take] if take < len(first) else np.broadcast_to(np.arange(len(first))[:, None], guess.shape)
-                    for j in range(guess.shape[1]):
-                        q = q0 + j
-                        groups = top[:, j]
-                        score = exact(rows[first[groups]], vectors[q])
-                        if len(groups) > k + 1:  # no more groups than rows are wanted, and all that tie with the last of them
-                            edge = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                            groups, score = groups[score >= edge], score[score >= edge]
-                        members = [sorted_ids[by_group[starts[g] : min(starts[g + 1], starts[g] + k + 1)]] for g in groups]
-                        new_ids = np.concatenate([best[q][0], *members])
-                        new_score = np.concatenate([best[q][1], np.repeat(score, [len(m) for m in members])])
-                        if not own:
-                            mine = new_ids != ids[q]
-                            new_ids, new_score = new_ids[mine], new_score[mine]
-                        keep = np.lexsort((new_ids, -new_score))[:k]
-                        best[q] = (new_ids[keep], new_score[keep])
-        for q0 in range(0, len(best), 1024):
-            part = best[q0 : q0 + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q0 : q0 + 1024], [len(x) for x, _ in part])), pa.array(np.concatenate([x for x, _ in part])), pa.array(np.concatenate([s for _, s in part]))], names=["query_id", "vec_id", "score"])
+        best_q, best_id, best_score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in _blocks(batches):
+            if tables is None:
+                tables = quantiser.tables(vectors)
+            vec_id = b.column("vec_id").to_numpy()
+            rows = _matrix(b.column("vector"), dim)
+            code = np.frombuffer(b"".join(b.column("code").to_pylist()), dtype="<u2").reshape(len(rows), -1).astype(np.intp)
+            # same vectors as one; their ids in order
+            order = np.argsort(vec_id, kind="stable")
+            _, first, group = np.unique(np.ascontiguousarray(rows[order]).view(f"V{dim * 8}").ravel(), return_index=True, return_inverse=True)
+            by_group = np.argsort(group, kind="stable")
+            members = vec_id[order][by_group]
+            starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
+            first = order[first]
+            scale = (b.column("length").to_numpy() / np.maximum(b.column("decoded").to_numpy(), 1e-30))[first].astype(np.float32)
+            rows, code = rows[first], code[first]
+            q, g = _shortlist(tables, code, scale, rerank)
+            score = np.concatenate([exact(rows[g[i : i + 8192]], vectors[q[i : i + 8192]]) for i in range(0, len(q), 8192)] or [np.zeros(0)])
+            # a query wants no more groups than rows, and of a group no more rows; its own may be one of them
+            q, g, score = _first_groups(q, g, score, members[starts[:-1]], k + 1)
+            size = np.minimum(starts[g + 1] - starts[g], k + 1)
+            at = np.repeat(starts[g] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            q, score, found = np.repeat(q, size), np.repeat(score, size), members[at]
+            if not own:
+                mine = found == ids[q]
+                mine[mine] = (rows[np.repeat(g, size)[mine]] == vectors[q[mine]]).all(axis=1)
+                q, score, found = q[~mine], score[~mine], found[~mine]
+            best_q, best_id, best_score = _best(np.concatenate([best_q, q]), np.concatenate([best_id, found]), np.concatenate([best_score, score]), k)
+        for i in range(0, len(best_q), 65_536):
+            part = slice(i, i + 65_536)
+            yield pa.RecordBatch.from_arrays([pa.array(best_q[part].astype(np.int32)), pa.array(ids[best_q[part]]), pa.array(best_id[part]), pa.array(best_score[part])], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _first_groups(q: np.ndarray, g: np.ndarray, score: np.ndarray, least_id: np.ndarray, keep: int):
+    """_best of groups, ties by their smallest ids."""
+    order = np.lexsort((least_id[g], -score, q))
+    q, g, score = q[order], g[order], score[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < keep
+    return q[kept], g[kept], score[kept]
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and vector of the rows that take part, one for each id."""
+    """vec_id and vector of the rows that take part, those that agree in both once."""
     v = F.col("vector")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector")).where(F.col("vec_id").isNotNull())
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull())
     rows = rows.where(F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.distinct()
 
 
 def build(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", sample_rows: int = 8192, beam: int = 4, **how) -> Index:

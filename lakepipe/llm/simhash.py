@@ -11,8 +11,9 @@ Only different fingerprints take part, copies being one row from the start. In a
 measure against one of them, and what that links is contracted; then only fingerprints of different groups still meet
 there. So no link is lost that could join groups, and a large group of near copies costs a few rows for each copy.
 
-Defined results: null and empty texts have fingerprint zero and link like any other. A row without an id counts under a
-number made of its text, and never names a group that has an id. No rows: no rows. Other columns pass through select().
+Defined results: null and empty texts have fingerprint zero and link like any other. A row without an id never names a group
+that has one; a group without any id has a null name. For keep_first() such rows come after all others, in order of a hash of
+the text. No rows: no rows. Other columns pass through keep_first().
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import dropped, payloads, written
+from lakepipe.llm.common import dropped, identified, payloads, written
 from lakepipe.llm.components import components
 
 SEED = 42
@@ -93,7 +94,7 @@ def ball(bits: int, radius: int) -> list[int]:
 def linked(fps: DataFrame, distance: int = 4, tables: int | None = None) -> DataFrame:
     """``fps``: a column fp of different fingerprints. Gives (node, label), the label being the same for
     those that links join."""
-    if tables is None:  # segments of about as many bits as there are fingerprints in a logarithm
+    if tables is None:  # segments of about as many bits as there are fingerprints in a logarithm; either finds the same links
         tables = 3 if fps.count() <= 1 << 22 else 2
     cut = segments(tables, distance)
     key = F.expr("(shiftrightunsigned(fp, shift) & whole) ^ mask").alias("key")
@@ -145,13 +146,11 @@ def hexadecimal(fp: Column | str) -> Column:
 
 def keep_first(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id."""
-    # rows without an id go by a number made of their text, above all ids
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.col(text)), 3))
-    keyed = docs.withColumn("__key", key)
-    found = groups(keyed.select("__key", text), distance, width, "__key", text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = written(kept.withColumnRenamed("doc_id", "__key"), "kept")
-    out = keyed.join(kept.select("__key").hint("shuffle_hash"), "__key", "left_semi")
-    if not kept.where("rows > 1").isEmpty():  # ids that repeat
-        out = out.dropDuplicates(["__key"])
-    return out.drop("__key")
+    keyed = identified(docs, doc_id, text)
+    rows = written(keyed.select("__key", "__th", fingerprint(F.col(f"`{text}`"), width).alias("fp")), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min(F.struct("__key", "__th")).alias("at")), "classes")
+    links = linked(classes.select("fp"), distance)
+    kept = classes.join(links.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("at").alias("at")).select("at.*")
+    kept = written(kept, "kept")
+    dropped(rows, classes, links)
+    return keyed.join(kept.hint("shuffle_hash"), ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).drop("__key", "__th")

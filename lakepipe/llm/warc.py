@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEGMENT, CHUNK, RECORDS, SALTS = 65_536, 8_192, 4_096, 16
+from lakepipe.llm.common import partitions
+
+SEGMENT, CHUNK, RECORDS = 65_536, 8_192, 4_096
 #: The date that all records carry.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -36,15 +38,16 @@ END = "\r\n\r\n"
 def verdicts(pages: DataFrame, least: int = 100, page_id: str = "page_id", payload: str = "html") -> DataFrame:
     """``pages`` with payload (bytes), digest, n and refers_to: the group's smallest id, null for responses.
 
-    Only digests are grouped. Payloads meet their group's id once, dealt to SALTS parts so that a payload that very many
-    pages share is no single task's.
+    Only digests are grouped. Payloads meet their group's id once, dealt to as many parts as there are shuffle partitions, so
+    that a payload that very many pages share is no single task's.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary"))
     digest, size = F.sha2(body, 256), F.octet_length(body)
     firsts = pages.select(F.col(page_id).alias("id"), digest.alias("digest"), size.alias("n")).where(F.col("n") >= least)
     firsts = firsts.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL")
-    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = pages.select(F.col(page_id).alias("id"), "url", body.alias("payload"), digest.alias("digest"), size.cast("long").alias("n"), F.pmod(F.xxhash64(F.col(page_id), F.col("url")), F.lit(SALTS)).cast("int").alias("salt"))
+    salts = partitions(pages.sparkSession)
+    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = pages.select(F.col(page_id).alias("id"), "url", body.alias("payload"), digest.alias("digest"), size.cast("long").alias("n"), F.pmod(F.xxhash64(F.col(page_id), F.col("url")), F.lit(salts)).cast("int").alias("salt"))
     return rows.join(firsts, ["digest", "salt"], "left").withColumn("refers_to", F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first"))).drop("first", "salt")
 
 

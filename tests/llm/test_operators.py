@@ -1,6 +1,7 @@
 """Each operator over small tables, against brute force and with awkward rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from pathlib import Path
@@ -38,7 +39,7 @@ def test_ann_against_brute_force(spark):
     odd = [(900, None), (901, []), (902, [0.0] * 12), (903, [float("nan")] + [1.0] * 11), (904, [float("inf")] + [1.0] * 11), (905, [1.0] * 5), (906, [None] + [1.0] * 11), (None, [1.0] * 12), (7, rows[7][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows + odd], "vec_id long, embedding array<double>, score string").repartition(3)
     index = ann.build(df)
-    assert index.rows.count() == 800
+    assert index.rows.count() == 800  # 7 twice with one vector is one row
     asked = [0, 7, 100, 399, 500]
     q = index.rows.where(F.col("vec_id").isin(asked)).selectExpr("vec_id AS query_id", "vector")
     got = index.search(q, k=20).collect()
@@ -54,6 +55,32 @@ def test_ann_against_brute_force(spark):
     assert found / total >= 0.9
 
 
+def test_ann_rows_of_one_id(spark, monkeypatch):
+    """Rows of one id with different vectors are rows of their own; blocks of rows and of queries change nothing."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 6))
+    ids = [i // 2 for i in range(90)]  # each id twice
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(2)
+    want = {}
+    for a in range(0, 90, 15):
+        s = ann.exact(x, x[a])
+        want.setdefault(ids[a], []).append([(float(s[j]), ids[j]) for j in sorted(range(90), key=lambda j: (-s[j], ids[j])) if j != a][:5])
+
+    def found():
+        index = ann.build(df)
+        asked = spark.createDataFrame([(ids[a], [float(v) for v in x[a]]) for a in range(0, 90, 15)], "query_id long, vector array<double>")
+        got = {}
+        for r in index.search(asked, k=5).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+        return got
+
+    for rows, queries_ in ((65_536, 4096), (7, 4096), (16, 2)):
+        monkeypatch.setattr(ann, "ROW_BLOCK", rows)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", queries_)
+        got = found()
+        assert {q: sorted((s, v) for _, s, v in g) for q, g in got.items()} == {q: sorted(y for w in ws for y in w) for q, ws in want.items()}
+
+
 def test_ann_recall_on_the_table(spark):
     got = {}
     for r in queries.QUERIES["op1_additive_quantisation"](spark, DIR).collect():
@@ -207,15 +234,66 @@ def test_urls_against_brute_force(spark):
     assert {(r["page_id"], r["rule"], r["verdict"]) for r in out if (r["page_id"] or 9999) > 9000} == {(9001, None, "allow"), (9002, "www.example.com/en/", "allow"), (9003, "example.com/en/", "block"), (9004, None, "allow"), (9005, None, "allow"), (None, "net/es/", "block")} or {r["verdict"] for r in out if r["page_id"] == 9004} <= {"allow", "block"}
 
 
+def slow_rules(rows, least_support, least_confidence, least_rows, least_lift):
+    """{(tokens, verdict): (confidence, support)} by trying every set of tokens that occurs."""
+    n, share = len(rows), {}
+    for _, v in rows:
+        share[v] = share.get(v, 0) + 1 / len(rows)
+    sets = {frozenset(c) for t, _ in rows for k in range(1, len(t) + 1) for c in itertools.combinations(t, k)}
+    found = {}
+    for s in sets:
+        hits = [v for t, v in rows if s <= set(t)]
+        for v in share:
+            both = hits.count(v)
+            if both >= least_rows and both / n >= least_support - 1e-12 and both / len(hits) >= least_confidence - 1e-12 and both / len(hits) / share[v] >= least_lift - 1e-9:
+                found[s, v] = (both / len(hits), both / n)
+    return {k: x for k, x in found.items() if not any(o < k[0] and v == k[1] and y[0] >= x[0] for (o, v), y in found.items())}
+
+
+def test_rules_against_a_plain_miner(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        t = sorted({f"t{min(int(rng.expovariate(0.5)), 9)}" for _ in range(rng.randint(1, 5))})
+        bad = ("t0" in t and "t3" in t) or "t7" in t
+        rows.append((t, "block" if (rng.random() < 0.95) == bad else "allow"))
+    how = {"least_support": 0.02, "least_confidence": 0.75, "least_rows": 4, "least_lift": 1.1}
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), **how).collect()
+    want = slow_rules(rows, **how)
+    assert {(frozenset(r["tokens"]), r["verdict"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in rules} == {k: (round(c, 9), round(s, 9)) for k, (c, s) in want.items()} and len(want) > 5
+    # and what they say of URLs, seen and unseen
+    asked = [sorted(rng.sample([f"t{i}" for i in range(10)], rng.randint(0, 6))) for _ in range(100)]
+    urls = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(asked)], "url string, tokens array<string>")
+    learned = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), **how)
+    got = {r["url"]: r["learned"] for r in url_rules.match(urls, learned).collect()}
+    for i, t in enumerate(asked):
+        hits = sorted((-round(c, 9), -round(s, 9), " ".join(sorted(k)), v) for (k, v), (c, s) in want.items() if k <= set(t))
+        assert got[f"u{i}"] == (hits[0][3] if hits else None)
+
+
 def test_mined_rules_and_their_match(spark):
     rows = [(["a", "b"], "block")] * 8 + [(["a"], "allow")] * 8 + [(["c", "d"], "block")] * 4 + [(["c"], "block")] * 4 + [(["e"], "allow")] * 2 + [(["e"], "block")] * 2
-    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = url_rules.mine(labelled, 0.05, 0.8, 1)
     got = {(r["rule"], r["verdict"], round(r["confidence"], 3)) for r in rules.collect()}
     assert got == {("b", "block", 1.0), ("c", "block", 1.0), ("d", "block", 1.0)}  # what a part says as surely is not said again
+    assert url_rules.mine(labelled, 0.05, 0.8, 5).count() == 2 and url_rules.mine(labelled, 0.05, 0.8, 1, 1.6).count() == 0
     urls = spark.createDataFrame([("u1", ["a", "b"]), ("u2", ["e"]), ("u3", []), ("u4", ["x", "c"])], "url string, tokens array<string>")
     assert {r["url"]: r["learned"] for r in url_rules.match(urls, rules).collect()} == {"u1": "block", "u2": None, "u3": None, "u4": "block"}
 
 
+def test_tokens_of_urls(spark):
+    long = "http://x.com/" + "a/" * 5000 + "?" + "&".join(f"p{i}=v" for i in range(5000))
+    df = spark.createDataFrame([("http://www.x.com/en/a//b.html?q=1&r&=2&q=1#f",), ("http://x.com",), (None,), (long,)], "url string")
+    h, p = url_rules.host_and_path("url")
+    got = [r["t"] for r in df.select("url", h.alias("host"), p.alias("path")).select(url_rules.tokens("url").alias("t")).collect()]
+    assert got[0] == ["ending:html", "fragment", "host:com", "host:www", "host:x", "path:a", "path:b.html", "path:en", "query:q", "query:q=1", "query:r"]
+    assert got[1] == ["host:com", "host:x"] and got[2] is None or got[2] == [] and len(got[3]) == 10_003
+    assert url_rules.judge(df.withColumn("page_id", F.lit(1)), queries.URL_RULES).count() == 4
+
+
 def test_urls_of_nothing(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
     only = spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")
