@@ -43,7 +43,7 @@ class Quantiser:
     books: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, n_books: int = 24, n_words: int = 256, rounds: int = 6, seed: int = 5) -> Quantiser:
+    def fit(cls, x: np.ndarray, n_books: int = 20, n_words: int = 256, rounds: int = 6, sweeps: int = 10, seed: int = 5) -> Quantiser:
         """``x``: directions of length one."""
         rng = np.random.default_rng(seed)
         n_words = max(1, min(n_words, len(x)))
@@ -60,18 +60,18 @@ class Quantiser:
             left = left - words[near]
             books.append(words)
         made = cls(np.stack(books))
-        # all books at once: least squares on the codes that the beam search gives
-        codes = made.encode(x)
-        k = n_books * n_words
-        gram, right = np.zeros((k, k)), np.zeros((k, x.shape[1]))
-        at = codes.astype(np.int64) + np.arange(n_books) * n_words
-        for i in range(n_books):
-            np.add.at(right, at[:, i], x)
-            for j in range(n_books):
-                np.add.at(gram, (at[:, i], at[:, j]), 1.0)
-        gram[np.diag_indices(k)] += 0.1
-        prior = 0.1 * made.books.reshape(k, -1)
-        better = np.linalg.solve(gram, right + prior).astype(np.float32).reshape(made.books.shape)
+        # least squares on the codes that the beam search gives, book by book in turn, held to the words so far by a small weight
+        codes, prior = made.encode(x).astype(np.intp), made.books
+        better, left = prior.copy(), x.astype(np.float32) - made.decode(codes)
+        for _ in range(sweeps):
+            for b in range(n_books):
+                at = codes[:, b]
+                left += better[b][at]
+                order = np.argsort(at, kind="stable")
+                used, starts, count = np.unique(at[order], return_index=True, return_counts=True)
+                sums = np.add.reduceat(left[order], starts, axis=0)
+                better[b][used] = (sums + 0.1 * prior[b][used]) / (count[:, None] + 0.1)
+                left -= better[b][at]
         return cls(better)
 
     def encode(self, x: np.ndarray, beam: int = 4) -> np.ndarray:
@@ -180,7 +180,7 @@ class Index:
     quantiser: Quantiser | None
     dim: int
 
-    def search(self, queries: DataFrame, k: int = 20, rerank: int = 300, own: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, rerank: int = 400, own: bool = False) -> DataFrame:
         """``queries``: query_id and vector. Gives query_id, rank, vec_id, score; ``own``: whether a query may find its own row.
 
         ``rerank``: how many different vectors of each ROW_BLOCK rows of a task are measured exactly for a query.

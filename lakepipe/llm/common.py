@@ -89,8 +89,19 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with ``__key`` and ``__th``, which tell documents apart and order them: the id, then a hash of the text.
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``docs``."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def identified(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names, which tell documents apart and order them: the id, then a hash of the text.
 
     Ids that are no integers are ordered as text. Rows without an id come last, by that hash.
     """
@@ -99,7 +110,8 @@ def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1))
     else:
         key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("\U0010ffff"))
-    return docs.withColumns({"__key": key, "__th": F.xxhash64(F.col(f"`{text}`"))})
+    names = free(docs, "__key", "__th")
+    return docs.withColumns({names[0]: key, names[1]: F.xxhash64(F.col(f"`{text}`"))}), *names
 
 
 def small(spark: SparkSession, rows: list, schema: str, most: int = 100_000) -> DataFrame:

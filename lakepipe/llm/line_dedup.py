@@ -8,8 +8,8 @@ How: lines with the same text are one class from the start, led by its first pla
 order of rarity, by counts over all lines that are kept in a fixed number of buckets; any order gives the same result,
 a good one gives short lists. Let the first token (in that order) that two similar sets share lie at some place in each:
 it is among the first few of both (prefix filter), and what is behind it must hold the overlap that the similarity asks for
-(length and positional filter in one, as this overlap depends on both lengths). Of each set a 128-bit map goes along, in
-which a token flips the bit that it names; maps of similar sets differ in no more bits than the sets differ in tokens
+(length and positional filter in one, as this overlap depends on both lengths). Of each set a map of 64 or 128 bits goes
+along, in which a token flips the bit that it names; maps of similar sets differ in no more bits than the sets differ in tokens
 (bitmap filter). A first join asks only whether a class has any candidate, and emits no pair. Among the classes that have
 one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a large
 group of near copies by a few comparisons each; only the others meet all earlier holders of a prefix token, and complete
@@ -34,12 +34,12 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import bloom_joins, dropped, identified, written
+from lakepipe.llm.common import bloom_joins, dropped, free, identified, written
 
 #: Token counts are kept in so many buckets: what the order of rarity costs in memory, whatever the corpus.
 BUCKETS = 1 << 17
-#: The columns of a token map: all tokens, and those whose bit 6 is set.
-MAPS = ["m0", "m1"]
+#: The columns of a token map: all tokens, and those whose bit 6 is set, of sets of more than NARROW tokens.
+MAPS, NARROW = ["m0", "m1"], 64
 #: Numbers that make different min-hash orders.
 SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)
 #: A line with a token.
@@ -118,7 +118,8 @@ def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
     gaps = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
     rows = classes.select(*rest, F.when(gaps, F.array_remove(hashed, F.xxhash64(F.lit("")))).otherwise(hashed).alias("set"))
     rows = rows.select(*rest, F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.sort_array(F.transform("set", placed)).alias("set"))
-    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))})
+    odd = flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))
+    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": F.when(F.col("n") > NARROW, odd).otherwise(_long(0))})
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -136,16 +137,17 @@ def _prefixes(sets: DataFrame, threshold: float, *also: str) -> DataFrame:
 def _maps_fit(a: str, b: str, threshold: float) -> Column:
     """What the sizes and maps of similar sets fulfil: they differ in (n + m) (1 - threshold) / (1 + threshold) tokens at most."""
     p, q = _ratio(threshold)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     all_, odd = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in MAPS)
-    apart = F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)
-    return apart * F.lit(p + q).cast("long") <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(q - p).cast("long")
+    apart = lambda bits: bits * F.lit(p + q) <= (n + m) * F.lit(q - p)
+    return apart(F.bit_count(all_)) & ((F.least(n, m) <= NARROW) | apart(F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)))
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
     """What two postings of the first token that similar sets share must fulfil."""
     p, q = _ratio(threshold)
     left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    return _maps_fit(a, b, threshold) & (left * F.lit(p + q).cast("long") >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(p).cast("long"))
+    return _maps_fit(a, b, threshold) & (left * F.lit(p + q) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(p))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -180,7 +182,7 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     whole = [*PLACE, "id", "n", *MAPS]
     place = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in PLACE])
     keyed = written(sets.select(*whole, F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token")), "keyed")
-    lead = keyed.groupBy("token").agg(F.min(F.struct(*whole)).alias("b"))
+    lead = written(keyed.groupBy("token").agg(F.min(F.struct(*whole)).alias("b")), "leaders")
     met = keyed.select("token", F.struct(*whole).alias("a")).join(lead, "token")
     pairs = met.where((F.col("a.id") != F.col("b.id")) & (place("b") < place("a")) & _maps_fit("a", "b", threshold))
     settled = written(_similar(pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("id2")).distinct(), sets, threshold), "settled")
@@ -196,34 +198,36 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     out = ["h", "g", *PLACE]
     copied = classes.where("copies > 1").select(*out, F.lit(False).alias("late"))
     found = written(copied.unionByName(sets.join(late.hint("shuffle_hash"), "id", "left_semi").select(*out, F.lit(True).alias("late"))), "repeated")
-    dropped(classes, sets, keyed, settled)
+    dropped(classes, sets, keyed, lead, settled)
     return found
 
 
-def marked(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``__gone`` (numbers of the lines that go, from 0; null for none), ``__key`` and ``__th``."""
-    keyed = identified(docs, doc_id, text)
-    narrow = keyed.select(F.col("__key").alias("key"), F.col("__th").alias("th"), F.col(f"`{text}`").alias("text"))
+def marked(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with columns of its own, and the name of one of them: numbers of the lines that go, from 0; null for none."""
+    keyed, key, th = identified(docs, doc_id, text)
+    name = free(keyed, "__gone")[0]
+    narrow = keyed.select(F.col(key).alias("key"), F.col(th).alias("th"), F.col(f"`{text}`").alias("text"))
     found = repeated(narrow, threshold)
-    first = found.select("h", "g", "late", F.struct(*PLACE).alias("first"))
+    first = found.where(F.col("h") >= -(2**63)).select("h", "g", "late", F.struct(*PLACE).alias("first"))
     lines = _lines(narrow).select(F.struct(*PLACE).alias("place"), *_hashes())
-    gone = lines.join(first.hint("shuffle_hash"), ["h", "g"]).where("late OR place != first")
-    gone = gone.groupBy(F.col("place.key").alias("__key"), F.col("place.th").alias("__th")).agg(F.collect_set("place.line_no").alias("__gone"))
-    gone = written(gone, "gone")
+    with bloom_joins(docs.sparkSession):
+        gone = lines.join(first.hint("shuffle_hash"), ["h", "g"]).where("late OR place != first")
+        gone = gone.groupBy(F.col("place.key").alias(key), F.col("place.th").alias(th)).agg(F.collect_set("place.line_no").alias(name))
+        gone = written(gone, "gone")
     dropped(found)
-    return keyed.join(gone.hint("shuffle_hash"), ["__key", "__th"], "left")
+    return keyed.join(gone.hint("shuffle_hash"), [key, th], "left"), name
 
 
-def _cleaned(text: str) -> Column:
-    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(lines, "\n"))
+def _cleaned(text: str, gone: str) -> Column:
+    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(lines, "\n"))
 
 
 def report(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_lines, n_removed, text (what is left of it)."""
-    rows = marked(docs.select(doc_id, text), threshold, doc_id, text)
+    rows, gone = marked(docs.select(doc_id, text), threshold, doc_id, text)
     count = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
-    return rows.select(F.col(doc_id).alias("doc_id"), count.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), _cleaned(text).alias("text"))
+    return rows.select(F.col(doc_id).alias("doc_id"), count.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), _cleaned(text, gone).alias("text"))
 
 
 def clean(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,14 +235,15 @@ def clean(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text:
 
     ``n_chars``, where there is such a column, is counted again for texts that changed.
     """
-    rows = marked(docs, threshold, doc_id, text).withColumn("__text", _cleaned(text))
-    rows = rows.where(F.col("__gone").isNull() | F.col("__text").rlike(SOLID))
+    rows, gone = marked(docs, threshold, doc_id, text)
+    left = free(rows, "__text")[0]
+    rows = rows.withColumn(left, _cleaned(text, gone)).where(F.col(gone).isNull() | F.col(left).rlike(SOLID))
     out = []
     for c in docs.columns:
         if c == text:
-            out.append(F.col("__text").alias(c))
+            out.append(F.col(left).alias(c))
         elif c == "n_chars":
-            out.append(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return rows.select(*out)

@@ -235,15 +235,13 @@ class Mix:
 
     def select(self, docs: DataFrame, sources: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """The mix itself: the columns of ``docs``, a row as often as its document is taken."""
-        rows = docs.withColumns({"__h": _hashed(self.seed, F.col(doc_id), F.col(text)), "__pattern": F.to_json(_members(sources), {"ignoreNullFields": "false"})})
+        own = {"__h": _hashed(self.seed, F.col(doc_id), F.col(text)), "__pattern": F.to_json(_members(sources), {"ignoreNullFields": "false"}), "__size": word_count(F.col(text)), "__id": F.col(doc_id)}
+        # the documents' columns under numbers, so that none clashes with those here
+        rows = docs.select(*[c.alias(k) for k, c in own.items()], *[docs[f"`{c}`"].alias(f"__doc{i}") for i, c in enumerate(docs.columns)])
         table = self.table.select(*[F.col(c) if c != "pattern" else F.col(c).alias("__pattern") for c in self.table.columns if c in ("pattern", "whole", "cuts", "more")])
-        clash = {c: f"__doc_{c}" for c in docs.columns if c in table.columns}
-        rows = rows.withColumnsRenamed(clash)
-        rows = self._with_total(rows.where(F.col(clash.get(text, text)).rlike(r"[^\x20\x09-\x0D]")), "__pattern", "__h", clash.get(doc_id, doc_id), word_count(clash.get(text, text)))
-        rows = rows.join(table, "__pattern")
-        copies = self._copies("__h", clash.get(doc_id, doc_id)).cast("int")
-        rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies)))
-        return rows.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
+        rows = self._with_total(rows.where("__size > 0"), "__pattern", "__h", "__id", F.col("__size")).join(table, "__pattern")
+        rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), self._copies("__h", "__id").cast("int"))))
+        return rows.select(*[F.col(f"__doc{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _members(sources: Column | None) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakepipe.llm.common import payloads
+from lakepipe.llm.common import free, payloads
 
 #: Statistics of a text, all numbers that need only the text itself.
 STATISTICS = (
@@ -207,12 +207,14 @@ class RuleEnsemble:
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
         keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-        rows = docs.withColumn("__statistics", _statistics(docs[text]))
-        return rows.select(*keep, self.column("__statistics").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        name = free(docs, "__statistics")[0]
+        rows = docs.withColumn(name, _statistics(docs[text]))
+        return rows.select(*keep, self.column(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
     def accepted(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``docs`` that are predicted 1, with their own columns."""
-        return docs.withColumn("__statistics", _statistics(docs[text])).where(self.column("__statistics") >= 0.5).drop("__statistics")
+        name = free(docs, "__statistics")[0]
+        return docs.withColumn(name, _statistics(docs[text])).where(self.column(name) >= 0.5).drop(name)
 
 
 #: Penalties that are tried, the strongest first.

@@ -146,11 +146,11 @@ def hexadecimal(fp: Column | str) -> Column:
 
 def keep_first(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id."""
-    keyed = identified(docs, doc_id, text)
-    rows = written(keyed.select("__key", "__th", fingerprint(F.col(f"`{text}`"), width).alias("fp")), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min(F.struct("__key", "__th")).alias("at")), "classes")
+    keyed, key, th = identified(docs, doc_id, text)
+    rows = written(keyed.select(F.col(key).alias("key"), F.col(th).alias("th"), fingerprint(F.col(f"`{text}`"), width).alias("fp")), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min(F.struct("key", "th")).alias("at")), "classes")
     links = linked(classes.select("fp"), distance)
-    kept = classes.join(links.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("at").alias("at")).select("at.*")
-    kept = written(kept, "kept")
+    kept = classes.join(links.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("at").alias("at"))
+    kept = written(kept.select(F.col("at.key").alias(key), F.col("at.th").alias(th)), "kept")
     dropped(rows, classes, links)
-    return keyed.join(kept.hint("shuffle_hash"), ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).drop("__key", "__th")
+    return keyed.join(kept.hint("shuffle_hash"), [key, th], "left_semi").dropDuplicates([key, th]).drop(key, th)

@@ -181,9 +181,15 @@ def encoder(path: str) -> Encoder:
 
 
 def _filesystem(uri: str):
+    """What Arrow opens the folder with, from Spark's name for it. Arrow has local, HDFS, S3, GCS and Azure stores."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    uri = f"{ {'s3a': 's3', 's3n': 's3', 'abfs': 'abfss', 'wasbs': 'abfss'}.get(scheme, scheme)}://{rest}" if colon else uri
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"records cannot be written to {scheme}://; give a folder in a local, HDFS, S3, GCS or Azure store") from e
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> list[dict]:

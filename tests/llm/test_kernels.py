@@ -121,6 +121,76 @@ def test_packing_is_tight():
     assert used / total > 0.98
 
 
+def naive_best_fit(pieces, capacities, cost):
+    """[(contents, capacity)] of bins, by best-fit decreasing, one piece at a time; each bin shrinks in the end."""
+    pieces, bins = sorted(pieces, reverse=True), []
+    for i, s in enumerate(pieces):
+        fits = [(c - sum(b), k) for k, (b, c) in enumerate(bins) if c - sum(b) >= s]
+        if fits:
+            bins[min(fits)[1]][0].append(s)
+            continue
+        same, waiting = pieces[i:].count(s), sum(x for x in pieces[i:] if x < s)
+        best = None
+        for c in capacities:
+            if c >= s:
+                alike = min(same, c // s) * s
+                fill = min(c, alike + min(c - alike, waiting / -(-same // (c // s))))
+                if best is None or cost(c) / fill < best[0] - 1e-12:
+                    best = (cost(c) / fill, c)
+        bins.append(([s], best[1]))
+    return [min(c for c in capacities if c >= sum(b)) for b, _ in bins]
+
+
+def optimum(pieces, capacities, cost):
+    """The least cost of all ways to share the pieces out."""
+    best = [float("inf")]
+
+    def go(i, bins):
+        if i == len(pieces):
+            best[0] = min(best[0], sum(cost(min(c for c in capacities if c >= b)) for b in bins))
+            return
+        for k, b in enumerate(bins):
+            if b + pieces[i] <= capacities[-1]:
+                go(i + 1, [*bins[:k], b + pieces[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, pieces[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def planned(pieces, capacities, cost):
+    histogram = {s: pieces.count(s) for s in pieces}
+    p = packing.plan(histogram, capacities, cost)
+    size = np.repeat(np.array(list(histogram)), list(histogram.values()))
+    rank = np.concatenate([np.arange(n) for n in histogram.values()])
+    bins, _, capacity = p.place(size, rank)
+    return list(dict(zip(bins.tolist(), capacity.tolist(), strict=True)).values())
+
+
+def test_packing_against_a_naive_one():
+    rng = random.Random(6)
+    cost = packing.bin_cost
+    worse = []
+    for _ in range(40):
+        capacities = tuple(sorted(rng.sample([64, 128, 256, 512, 1024], 3)))
+        pieces = [min(capacities[-1], max(1, int(rng.lognormvariate(4, 1)))) for _ in range(rng.randint(1, 300))]
+        ours, naive = sum(map(cost, planned(pieces, capacities, cost))), sum(map(cost, naive_best_fit(pieces, capacities, cost)))
+        worse.append(ours / naive)
+        assert ours <= 1.1 * naive
+    assert np.mean(worse) <= 1.01
+
+
+def test_packing_against_the_optimum():
+    rng = random.Random(9)
+    found = []
+    for _ in range(60):
+        capacities = (8, 16, 32)
+        pieces = [rng.randint(1, 32) for _ in range(rng.randint(1, 6))]
+        cost = lambda c: c + 2
+        found.append(sum(map(cost, planned(pieces, capacities, cost))) / optimum(pieces, capacities, cost))
+    assert min(found) >= 1 and np.mean(found) <= 1.06 and max(found) <= 1.5
+
+
 def test_targets_share_what_is_cut_off():
     sizes = {"a": 10, "b": 1000, None: 990}
     got = mixing.targets(sizes, {"a": 5.0, "b": 2.0, None: 1.0}, 2000)
@@ -227,3 +297,54 @@ def test_rules_of_a_plain_case():
 
     assert np.mean([score(r) == bool(v) for r, v in zip(x, y, strict=True)]) > 0.97
     assert quality.fit(x[:0], y[:0]).rules == () and quality.fit(x[:5], np.ones(5)).intercept > 0
+
+
+def test_lasso_is_at_its_least():
+    """The conditions that only the least of the penalised loss fulfils."""
+    rng = np.random.default_rng(1)
+    x = (rng.random((400, 12)) < 0.4).astype(np.float32)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 3] + 0.3)))).astype(np.float32)
+    weigh = (rng.random(400) < 0.8).astype(np.float32)
+    for penalty in (0.05, 0.01, 0.001):
+        w, b = quality._lasso(x, y, weigh, penalty, steps=5000)
+        r = (1 / (1 + np.exp(-(b + x @ w))) - y) * weigh / weigh.sum()
+        slope = x.T @ r
+        assert abs(r.sum()) < 2e-3
+        assert np.all(np.abs(slope[w == 0]) <= penalty + 2e-3) and np.allclose(slope[w != 0], -np.sign(w[w != 0]) * penalty, atol=2e-3)
+    assert (quality._lasso(x, y, weigh, 0.05, steps=5000)[0] != 0).sum() < (quality._lasso(x, y, weigh, 0.001, steps=5000)[0] != 0).sum()
+
+
+def test_first_split_is_the_purest():
+    """A tree's first split against trying every one."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        bins, y = rng.integers(0, 6, (60, 3)), (rng.random(60) < 0.4).astype(float)
+        weight = rng.random(60) + 0.5
+
+        def impurity(rows):
+            p, n = (weight * y)[rows].sum(), weight[rows].sum()
+            return p * (1 - p / n)
+
+        every = {(f, at): impurity(bins[:, f] <= at) + impurity(bins[:, f] > at) for f in range(3) for at in range(5) if min((bins[:, f] <= at).sum(), (bins[:, f] > at).sum()) >= 4}
+        found: set = set()
+        quality._grow(bins, y, weight, np.arange(3), 7, 1, (), found, 4)
+        splits = {p[0][:2] for p in found}
+        assert len(splits) == 1 and abs(every[splits.pop()] - min(every.values())) < 1e-9
+
+
+def test_rules_on_rows_not_seen():
+    """Two rules over statistics, with noise: found again, whatever the order of the rows."""
+    rng = np.random.default_rng(3)
+    at = {s: i for i, s in enumerate(quality.STATISTICS)}
+    x = rng.random((900, len(at)))
+    y = ~((x[:, at["symbol"]] > 0.7) | ((x[:, at["upper"]] > 0.6) & (x[:, at["stop"]] <= 0.4)))
+    y ^= rng.random(900) < 0.02
+    for order in (np.arange(600), rng.permutation(600)):
+        model = quality.fit(x[order], y[order])
+        z = np.full(300, model.intercept)
+        for r in model.rules:
+            hit = np.ones(300, dtype=bool)
+            for f, bound, low in r.conditions:
+                hit &= (x[600:, at[f]] <= bound) == low
+            z += r.weight * hit
+        assert np.mean((z >= 0) == y[600:]) >= 0.93

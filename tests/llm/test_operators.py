@@ -192,6 +192,38 @@ def test_line_dedup_of_near_copies(spark):
     assert got == slow_any_earlier(rows)
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Rows of one id with different texts lose their own lines only; ids may be text; names may hold dots."""
+    rows = [("b", "first line of five words\nonly in this document here"), ("b", "only here and nowhere else\nfirst line of five words"), ("a", "first line of five words"), (None, "first line of five words\nno id for this one line"), ("b", "only here and nowhere else\nfirst line of five words")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "`the.id` string, `the.text` string, __gone string")
+    out = line_dedup.clean(df.drop("__gone"), doc_id="the.id", text="the.text")
+    got = sorted((str(r["the.id"]), r["the.text"]) for r in out.collect())
+    assert got == [("None", "no id for this one line"), ("a", "first line of five words"), ("b", "only here and nowhere else"), ("b", "only here and nowhere else"), ("b", "only in this document here")]
+    ids = spark.createDataFrame([(2**62 + 5, "one two three four five"), (None, "one two three four five"), (-(2**63), "one two three four five\nsix"), (2**63 - 1, "seven")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.clean(ids).collect()) == [(-(2**63), "one two three four five\nsix"), (2**63 - 1, "seven")]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_line_dedup_of_all_lengths(spark, threshold):
+    """Lines of 1 to 300 tokens with edits, blanks of all kinds, repeated words and a hot word, by several thresholds."""
+    import random
+
+    rng, rows = random.Random(int(threshold * 100)), []
+    for length in [1, 2, 3, 4, 5, 6, 9, 10, 30, 60, 64, 65, 66, 70, 130, 300] * 2:
+        base = ["the", *[f"w{rng.randrange(300)}" for _ in range(length - 1)]]
+        for _ in range(4):
+            words = base[:]
+            for _ in range(rng.randint(0, max(1, int(length * (1 - threshold))))):
+                words[rng.randrange(length)] = rng.choice([f"v{rng.randrange(10**6)}", "the", "of"])
+            rng.shuffle(words)
+            rows.append("".join(w + rng.choice([" ", "  ", "\t", " \x0b", "\f", "\r", " "]) for w in words))
+    rng.shuffle(rows)
+    docs = [(i, "\n".join(rows[i * 2 : i * 2 + 2]) + rng.choice(["", "\n \t", "\nü\xa0ü"])) for i in range(len(rows) // 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.report(df, threshold).collect()}
+    assert got == slow_any_earlier(docs, threshold)
+
+
 def test_line_dedup_awkward(spark):
     df = awkward(spark)
     out = line_dedup.clean(df)
@@ -498,6 +530,40 @@ def test_mix_of_the_table(spark, docs):
         assert abs(taken[s] - want[s]) <= max(100, 0.03 * want[s])
 
 
+def slow_choice(rows, want):
+    """Which (h, id) a quota takes, of rows (h, id, size), one for each key."""
+    taken, gap = set(), want
+    while fits := sorted((h, i, n) for h, i, n in rows if (h, i) not in taken and n <= gap):
+        for h, i, n in fits:
+            if n > gap:
+                break
+            taken.add((h, i))
+            gap -= n
+    left = sorted((n, h, i) for h, i, n in rows if (h, i) not in taken)
+    if gap and left and left[0][0] - gap < gap:
+        taken.add(left[0][1:])
+    return taken
+
+
+def test_mix_chooses_the_documents_that_a_plain_one_does(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 7, 40, 300, 3000]))), rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", mixing._hashed(17, F.col("doc_id"), F.col("text")).alias("h")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    of = {s: sum(size[i] for i, _, x in rows if x == s) for s in ("a", "b", None)}
+    goal = mixing.targets(of, mixing.cyclic_weights(list(of)), sum(of.values()))
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df).report().collect()}
+    for s in of:
+        whole, rest = divmod(round(goal[s]), of[s])
+        more = slow_choice([(h[i], i, size[i]) for i, _, x in rows if x == s and size[i]], rest)
+        for i, _, x in rows:
+            if x == s:
+                assert got[i] == size[i] * (whole + ((h[i], i) in more)), (s, i)
+
+
 def test_mix_awkward(spark):
     df = awkward(spark).withColumn("whole", F.lit(1))
     m = mixing.mix(df)

@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 import pytest
-from test_operators import slow_any_earlier, slow_components
+from pyspark.sql import functions as F
+from test_operators import awkward, slow_any_earlier, slow_components
 
 from lakepipe.llm import simhash
 from lakepipe.llm.common import written
@@ -64,6 +65,27 @@ def test_mix_and_packing(steps):
     assert sum(r["size"] for r in packed) == sum(len(r["text"].encode().split()) for r in rows)
 
 
+@pytest.mark.parametrize("rows", ["awkward", "none", "nulls"])
+def test_awkward_tables_run_through_all_stages(spark, rows):
+    """Nulls in every column, empty and very long texts, repeated rows, no rows, and columns called like the operators' own."""
+    docs = awkward(spark)
+    if rows == "none":
+        docs = docs.limit(0)
+    if rows == "nulls":
+        docs = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, None, None, None, None)], docs.schema)
+    for c in ("__key", "__th", "__gone", "h", "key", "score", "whole", "cuts", "__statistics", "place"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, DIR), "test")
+        if name != "best-fit packing":
+            assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+            assert out.where("score != 'score' OR h != 'h' OR __key != '__key'").count() == 0
+            if rows == "none":
+                assert out.count() == 0
+        docs = out
+    assert {"doc_id", "bin_id"} <= set(docs.columns)
+
+
 def test_near_copies_of_similarity(spark):
     """Planted copies of a five-word Jaccard around 0.8, some in a family, against brute force."""
     import random
