@@ -294,7 +294,7 @@ class DataFrame:
                 self._done = True
 
     def _run(self, name: str, action: Callable):
-        with self._session.observer.observe_task(name) as found:
+        with self._session.observer.observe_task(name, self._session.spark) as found:
             self._flush()
             out = action()
             if (rows := len(out) if hasattr(out, "__len__") else out if isinstance(out, int) else None) is not None:

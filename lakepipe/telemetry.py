@@ -64,19 +64,21 @@ class StateObserver:
                 log.exception("a telemetry subscriber failed on %s", event.kind)
 
     @contextmanager
-    def _observe(self, what: str, name: str) -> Iterator[dict]:
+    def _observe(self, what: str, name: str, spark=None) -> Iterator[dict]:
         job, began, found = uuid.uuid4().hex, time.time(), {}
-        self.emit(JobEvent(f"{what}.started", job, name))
-        try:
-            yield found
-        except BaseException as e:
-            self.emit(JobEvent(f"{what}.failed", job, name, seconds=time.time() - began, error=f"{type(e).__name__}: {e}"[:500]))
-            raise
-        self.emit(JobEvent(f"{what}.finished", job, name, found.get("rows_in"), found.get("rows_out"), time.time() - began))
-
-    def observe_task(self, name: str):
-        """A context: put ``rows_out`` into the dict that it gives."""
-        return self._observe("task", name)
+        self.emit(JobEvent(f"{what}.started", job, name, extra={"status": "running"}))
+        with _grouped(spark, job) as stages:
+            try:
+                yield found
+            except BaseException as e:
+                self.emit(JobEvent(f"{what}.failed", job, name, seconds=time.time() - began, error=f"{type(e).__name__}: {e}"[:500], extra={"status": "failed", "stages": stages()}))
+                raise
+            self.emit(JobEvent(f"{what}.finished", job, name, found.get("rows_in"), found.get("rows_out"), time.time() - began, extra={"status": "finished", "stages": stages()}))
+
+    def observe_task(self, name: str, spark=None):
+        """A context: put ``rows_out`` into the dict that it gives. With a Spark session the last event's ``extra`` has the stages
+        that ran for it: stage_id, attempt, partitions (tasks), done and failed ones."""
+        return self._observe("task", name, spark)
 
     def observe_batch(self, name: str):
         return self._observe("batch", name)
@@ -96,6 +98,37 @@ class StateObserver:
             self._subscribers.clear()
 
 
+@contextmanager
+def _grouped(spark, job: str) -> Iterator[Callable[[], list[dict]]]:
+    """In it, Spark's jobs of this thread are tagged ``job``; gives a function of their stages so far."""
+    if spark is None:
+        yield list
+        return
+    context = spark.sparkContext
+    context.addJobTag(job)
+    known = context.getLocalProperty("spark.jobGroup.id")
+    group = known or job
+    if not known:
+        context.setLocalProperty("spark.jobGroup.id", job)
+    before = set(context.statusTracker().getJobIdsForGroup(group))
+
+    def stages() -> list[dict]:
+        tracker, found = context.statusTracker(), {}
+        for j in sorted(set(tracker.getJobIdsForGroup(group)) - before):
+            info = tracker.getJobInfo(j)
+            for s in info.stageIds if info else ():
+                if (x := tracker.getStageInfo(s)) is not None:
+                    found[s] = {"stage_id": s, "attempt": x.currentAttemptId, "partitions": x.numTasks, "done": x.numCompletedTasks, "failed": x.numFailedTasks, "job_status": info.status}
+        return list(found.values())
+
+    try:
+        yield stages
+    finally:
+        context.removeJobTag(job)
+        if not known:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+
 class JsonLinesSink:
     """Writes each event as a line of JSON."""
 

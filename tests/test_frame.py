@@ -414,6 +414,19 @@ def test_telemetry(session, tmp_path):
     assert session.telemetry_summary()["events"] == {}
 
 
+def test_stages_of_a_task(session):
+    seen = []
+    session.on_job_event(seen.append)
+    session.from_spark(session.spark.range(0, 100, 1, 3)).groupby().agg({"id": "sum"}).to_arrow()
+    stages = seen[-1].extra["stages"]
+    assert seen[0].extra == {"status": "running"} and seen[-1].extra["status"] == "finished"
+    assert any(x["partitions"] == 3 and x["done"] == 3 and not x["failed"] for x in stages) and len({x["stage_id"] for x in stages}) == len(stages)
+    with pytest.raises(Exception):
+        session.from_spark(session.spark.range(2)).map(lambda r: {"a": 1 // 0}, output_schema="a int").to_arrow()
+    assert seen[-1].extra["status"] == "failed" and any(x["failed"] for x in seen[-1].extra["stages"])
+    assert session.spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
 def test_sessions(spark):
     with Session(spark=spark) as s:
         assert s in GlobalContext.get().sessions() and "own=False" in repr(s)
