@@ -65,6 +65,24 @@ def join(left: DataFrame, right: DataFrame, on=None, how: str = "inner", *, left
     return out.select(*columns)
 
 
+def join_within(left: DataFrame, right: DataFrame, on, times: tuple[str, str], within: str, how: str = "inner", *, right_suffix: str = "_right") -> DataFrame:
+    """As join, of rows whose ``times`` are no further apart than the interval ``within``, like ``1 hour``."""
+    if how not in HOW:
+        raise ValueError(f"unknown join type {how!r}; one of {', '.join(HOW)}")
+    keys = _names(on)
+    names = {c: f"__r_{c}" for c in right.columns}
+    r = right.withColumnsRenamed(names)
+    span = F.expr(f"INTERVAL {within}") if not within.strip().upper().startswith("INTERVAL") else F.expr(within)
+    condition = [left[_q(k)] == r[_q(names[k])] for k in keys]
+    condition += [r[_q(names[times[1]])] >= left[_q(times[0])] - span, r[_q(names[times[1]])] <= left[_q(times[0])] + span]
+    out = left.join(r, condition, HOW[how])
+    if HOW[how] in ("left_semi", "left_anti"):
+        return out
+    taken = set(left.columns)
+    kept = [F.coalesce(F.col(_q(c)), F.col(_q(names[c]))).alias(c) if c in keys else F.col(_q(c)) for c in left.columns]
+    return out.select(*kept, *[F.col(_q(n)).alias(c + right_suffix if c in taken else c) for c, n in names.items() if c not in keys])
+
+
 def join_asof(left: DataFrame, right: DataFrame, on: str, by=None, *, right_suffix: str = "_right", slices: int | None = None) -> DataFrame:
     """Each left row with the latest right row of the same ``by`` whose ``on`` is not later (null if none).
 

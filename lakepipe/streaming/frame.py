@@ -13,13 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import functions as F
 
-from lakepipe.frame import sql_over
-from lakepipe.operators import partitioning, udf
+from lakepipe.frame import DataFrame, sql_over
+from lakepipe.operators import joins, partitioning, udf
 from lakepipe.operators.aggregate import aggregate, columns_of
 from lakepipe.streaming.sinks import KafkaSink, ParquetSink, Sink, StdioSink
 from lakepipe.streaming.sources import Landing, StreamingSource
 
 
+def _union(frames: list[SparkFrame]) -> SparkFrame:
+    df = frames[0]
+    for f in frames[1:]:
+        df = df.unionByName(f)
+    return df
+
+
 class GroupedStreamingDataFrame:
     def __init__(self, frame: StreamingDataFrame, keys: list[str]) -> None:
         self._frame, self._keys = frame, keys
@@ -47,9 +54,10 @@ class GroupedStreamingDataFrame:
 class StreamingDataFrame:
     """Immutable: each method gives a new one. ``steps``: (text, function, whether it is for a batch only)."""
 
-    def __init__(self, session, inputs, batch_size: int = 100, spec=None, steps=(), sinks=(), stateful: bool = False) -> None:
+    def __init__(self, session, inputs, batch_size: int = 100, spec=None, steps=(), sinks=(), stateful: bool = False, build=None) -> None:
+        """``build``: the plan that the steps start from, of the frames of all inputs; by default their union."""
         self._session, self._inputs, self._batch_size, self._spec = session, tuple(inputs), batch_size, spec
-        self._steps, self._sinks, self._stateful = tuple(steps), tuple(sinks), stateful
+        self._steps, self._sinks, self._stateful, self._build = tuple(steps), tuple(sinks), stateful, build or _union
         self._query = None
         self._failure: Exception | None = None
         self._landings: list[Landing] = []
@@ -71,7 +79,7 @@ class StreamingDataFrame:
         return cls(session, inputs, batch_size, spec)
 
     def _copy(self, **changes) -> StreamingDataFrame:
-        now = {"session": self._session, "inputs": self._inputs, "batch_size": self._batch_size, "spec": self._spec, "steps": self._steps, "sinks": self._sinks, "stateful": self._stateful}
+        now = {"session": self._session, "inputs": self._inputs, "batch_size": self._batch_size, "spec": self._spec, "steps": self._steps, "sinks": self._sinks, "stateful": self._stateful, "build": self._build}
         return StreamingDataFrame(**now | changes)
 
     def _step(self, text: str, fn: Callable, per_batch: bool = False, **changes) -> StreamingDataFrame:
@@ -113,8 +121,43 @@ class StreamingDataFrame:
             raise ValueError("only sources can be put together")
         return self._copy(inputs=(*self._inputs, *other._inputs))
 
-    def join(self, *_, **__):
-        raise ValueError("streams are not joined; join inside a sink, or use Spark's streaming joins on spark_frame()")
+    def watermarked(self, time_column: str, watermark: str) -> StreamingDataFrame:
+        """Rows may be late by ``watermark``; joins and windows forget what is older."""
+        return self._step(f"watermarked({time_column}, {watermark})", lambda df: df.withColumn(time_column, F.col(time_column).cast("timestamp")).withWatermark(time_column, watermark))
+
+    def join(self, other, on=None, how: str = "inner", times: tuple[str, str] | None = None, within: str | None = None, right_suffix: str = "_right") -> StreamingDataFrame:
+        """With a frame (the same in each batch) or another stream, as operators.joins.join.
+
+        Streams remember each other's rows, of all time unless both are watermarked() and ``times`` (a time of either side)
+        are to be ``within`` an interval of each other. An outer or semi join of streams needs that.
+        """
+        if on is None:
+            raise ValueError("a join needs a key")
+        if isinstance(other, DataFrame):
+            return self._step(f"join({on}, {how})", lambda df: joins.join(df, other.spark_frame, on, how, right_suffix=right_suffix))
+        if not isinstance(other, StreamingDataFrame):
+            raise TypeError("a stream is joined to a frame or a stream")
+        if any(s[2] for s in (*self._steps, *other._steps)):
+            raise ValueError("streams can be joined only before steps that are for a batch")
+        if within is not None and times is None:
+            raise ValueError("within needs the times that it is about")
+        n = len(self._inputs)
+
+        def build(frames: list[SparkFrame]) -> SparkFrame:
+            left, right = self._plan(frames[:n]), other._plan(frames[n:])
+            if within is None:
+                return joins.join(left, right, on, how, right_suffix=right_suffix)
+            return joins.join_within(left, right, on, times, within, how, right_suffix=right_suffix)
+
+        return self._copy(inputs=(*self._inputs, *other._inputs), steps=(), build=build, stateful=True)
+
+    def with_state(self, keys, fn: Callable, output_schema, state_schema, timeout: str = "none") -> StreamingDataFrame:
+        """``fn(key, frames, state)`` for each key in each batch: gets pandas frames and a state (of ``state_schema``) that outlives
+        batches, yields pandas frames of ``output_schema``. ``timeout``: ``none``, ``processing`` or ``event``."""
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        kind = {"none": "NoTimeout", "processing": "ProcessingTimeTimeout", "event": "EventTimeTimeout"}[timeout]
+        out, state = udf.spark_schema(output_schema), udf.spark_schema(state_schema)
+        return self._step(f"with_state({', '.join(keys)})", lambda df: df.groupBy(*keys).applyInPandasWithState(fn, out, state, "append", kind), stateful=True)
 
     def windowed(self, time_column: str, size: str, slide: str | None = None, keys=(), aggs: dict | None = None, watermark: str = "0 seconds", session_gap: bool = False) -> StreamingDataFrame:
         """Event-time windows (tumbling, sliding with ``slide``, or sessions of gap ``size``) that outlive batches.
@@ -146,9 +189,10 @@ class StreamingDataFrame:
         frames = inputs if inputs is not None else [x for x in self._inputs if isinstance(x, SparkFrame)]
         if len(frames) != len(self._inputs):
             raise ValueError("a polled source has no plan before it is started")
-        df = frames[0]
-        for f in frames[1:]:
-            df = df.unionByName(f)
+        return self._plan(frames)
+
+    def _plan(self, frames: list[SparkFrame]) -> SparkFrame:
+        df = self._build(frames)
         for _, fn, per_batch in self._steps:
             if per_batch:
                 break

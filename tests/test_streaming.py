@@ -218,3 +218,41 @@ def test_event_time_windows(session, tmp_path):
     assert sorted(r["v"] for b in got for r in b) == [3, 7]  # the last window is still open
     session.read_file_stream(str(tmp_path / "in"), schema).deduplicated(["v"], "t", "1 hour").write_parquet(str(tmp_path / "out"), available_now=True)
     assert session.read_parquet(str(tmp_path / "out")).count() == 5
+
+
+def _timed(session, tmp_path, name, rows):
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    table = pa.table({"k": [k for k, _, _ in rows], "t": pa.array([t0 + datetime.timedelta(minutes=m) for _, m, _ in rows], pa.timestamp("us")), "v": [v for _, _, v in rows]})
+    session.from_arrow(table).write_parquet(str(tmp_path / name)).compute()
+    return session.read_file_stream(str(tmp_path / name), session.read_parquet(str(tmp_path / name)).schema)
+
+
+def test_joins_of_streams(session, tmp_path):
+    names = session.from_arrow(pa.table({"g": ["a", "b"], "name": ["A", "B"]}))
+    got = run(session.read_stream(queued(("a", 1), ("b", 2), ("c", 3)), batch_size=2).join(names, "g", "left").filter("v < 3 OR name IS NULL"))
+    assert sorted((r["g"], r["v"], r["name"]) for b in got for r in b) == [("a", 1, "A"), ("b", 2, "B"), ("c", 3, None)]
+    left, right = _timed(session, tmp_path, "l", [("x", 0, 1), ("x", 100, 2), ("y", 0, 3)]), _timed(session, tmp_path, "r", [("x", 10, 7), ("x", 300, 8), ("z", 0, 9)])
+    both = left.watermarked("t", "1 minute").join(right.watermarked("t", "1 minute"), "k", times=("t", "t"), within="30 minutes")
+    assert [(r["k"], r["v"], r["v_right"]) for b in run(both) for r in b] == [("x", 1, 7)]
+    assert sorted((r["v"], r["v_right"]) for b in run(left.join(right.select("k", "v"), "k").filter("v > 0")) for r in b) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+    two = session.read_stream(queued(("a", 1)))
+    assert [r["v_right"] for b in run(two.join(session.read_stream(queued(("a", 5), ("b", 6))), "g")) for r in b] == [5]
+    for bad in (lambda: two.join(two.groupby("g").count(), "g"), lambda: two.join(two, "g", within="1 hour")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(TypeError):
+        two.join([1], "g")
+
+
+def test_a_state_of_ones_own(session):
+    import pandas as pd
+
+    def total(key, frames, state):
+        n = (state.get[0] if state.exists else 0) + sum(int(f["v"].sum()) for f in frames)
+        state.update((n,))
+        yield pd.DataFrame({"g": [key[0]], "total": [n]})
+
+    got = run(session.read_stream(queued(("a", 1), ("a", 2), ("b", 5), ("a", 10)), batch_size=2).with_state("g", total, "g string, total long", "n long"))
+    assert [sorted((r["g"], r["total"]) for r in b) for b in got if b] == [[("a", 3)], [("a", 13), ("b", 5)]]
