@@ -18,8 +18,6 @@ from pyspark.sql import types as T
 BLANK = r"[\x20\x09-\x0D]"
 
 _folders: dict[str, str] = {}
-#: Lets Spark remove the shuffle files of a query when it has ended, not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,31 +42,35 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, and losing an executor loses nothing of it."""
+    """``df`` as a table in the shared folder: its lineage ends there, and losing an executor loses nothing of it. Shuffle files go
+    when the table is written, not when the driver happens to collect its garbage."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._lakepipe_path = path
     return back
 
 
 @contextmanager
+def settings(spark: SparkSession, **values):
+    """Spark settings (dots as two underscores) that hold in it."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def bloom_joins(spark: SparkSession):
     """In it, Spark filters the large side of a join by a Bloom filter of the other's keys (of 8 MB at most) before it shuffles.
 
     The other side must be a table of written() with a comparison on its key (any; Spark wants a filter there to do so)."""
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0")
 
 
 def _remove(spark: SparkSession, path: str) -> None:

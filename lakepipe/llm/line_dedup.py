@@ -8,8 +8,8 @@ How: lines with the same text are one class from the start, led by its first pla
 order of rarity, by counts over all lines that are kept in a fixed number of buckets; any order gives the same result,
 a good one gives short lists. Let the first token (in that order) that two similar sets share lie at some place in each:
 it is among the first few of both (prefix filter), and what is behind it must hold the overlap that the similarity asks for
-(length and positional filter in one, as this overlap depends on both lengths). Of each set a map of 64 or 128 bits goes
-along, in which a token flips the bit that it names; maps of similar sets differ in no more bits than the sets differ in tokens
+(length and positional filter in one, as this overlap depends on both lengths). Of each set a 128-bit map goes along, in
+which a token flips the bit that it names; maps of similar sets differ in no more bits than the sets differ in tokens
 (bitmap filter). A first join asks only whether a class has any candidate, and emits no pair. Among the classes that have
 one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a large
 group of near copies by a few comparisons each; only the others meet all earlier holders of a prefix token, and complete
@@ -34,12 +34,12 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import bloom_joins, dropped, free, identified, written
+from lakepipe.llm.common import bloom_joins, dropped, free, identified, settings, written
 
 #: Token counts are kept in so many buckets: what the order of rarity costs in memory, whatever the corpus.
 BUCKETS = 1 << 17
-#: The columns of a token map: all tokens, and those whose bit 6 is set, of sets of more than NARROW tokens.
-MAPS, NARROW = ["m0", "m1"], 64
+#: The columns of a token map: all tokens, and those whose bit 6 is set.
+MAPS = ["m0", "m1"]
 #: Numbers that make different min-hash orders.
 SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)
 #: A line with a token.
@@ -91,7 +91,10 @@ def _levels(classes: DataFrame) -> Column:
     so it travels as a constant. The first bit of a level is turned, so that signed numbers are in the order of levels."""
     words = classes.select(F.explode_outer(_tokens("line")).alias("t"))
     low, left = (BUCKETS // 16 - 1), 60 << 13
-    counts = written(words.groupBy(F.xxhash64("t").bitwiseAND(_long(low | left)).alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(_long(low | left)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # as many groups as buckets, so that Spark's fast map (of 2^16 groups by default) holds them all
+    with settings(classes.sparkSession, spark__sql__codegen__aggregate__fastHashMap__capacityBit="18"):
+        counts = written(counts, "counts")
     mean = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / BUCKETS or 1.0
     level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("n") / F.lit(mean))) + 5)).cast("long").bitwiseXOR(_long(8))
     at, shift = _bucket(F.col("b"))
@@ -118,8 +121,7 @@ def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
     gaps = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
     rows = classes.select(*rest, F.when(gaps, F.array_remove(hashed, F.xxhash64(F.lit("")))).otherwise(hashed).alias("set"))
     rows = rows.select(*rest, F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.sort_array(F.transform("set", placed)).alias("set"))
-    odd = flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))
-    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": F.when(F.col("n") > NARROW, odd).otherwise(_long(0))})
+    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))})
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -139,8 +141,7 @@ def _maps_fit(a: str, b: str, threshold: float) -> Column:
     p, q = _ratio(threshold)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     all_, odd = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in MAPS)
-    apart = lambda bits: bits * F.lit(p + q) <= (n + m) * F.lit(q - p)
-    return apart(F.bit_count(all_)) & ((F.least(n, m) <= NARROW) | apart(F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)))
+    return (F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)) * F.lit(p + q) <= (n + m) * F.lit(q - p)
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:

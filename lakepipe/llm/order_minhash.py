@@ -5,6 +5,10 @@ numbered k-mers are dealt to ``slots`` ranges; in each range the ``keep`` least
 they stand in the text, and hashed together. Two texts share a slot's value only if they share those k-mers in that order,
 so the share of equal slots falls with edit distance: moving a passage changes it as removing one does.
 
+This is the one-permutation form: one hash is dealt to all slots, in place of an order of its own for each, and slots that get
+fewer k-mers than ``keep`` are not filled up. Texts of up to about 100 code points have slots of no or one k-mer, so that
+order counts for little there; from about 400 on it counts as in the other form.
+
 Defined results: a null text counts as empty. Texts shorter than k have one k-mer, themselves; an empty text has none, and
 all its slots are empty. Slots empty in both texts do not count; two texts without any slots are alike (1). Neighbours are
 taken in descending order of the id, null ids last, rows of one id in order of text; a lone document is its own neighbour.
