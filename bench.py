@@ -1,4 +1,7 @@
-"""Times the headline queries: one JSON line. BENCH_SF_DIR, BENCH_CPUS and BENCH_RUNS set the tables, the threads and the warm runs."""
+"""Times the headline queries: one JSON line. BENCH_SF_DIR, BENCH_CPUS and BENCH_RUNS set the tables, the threads and the warm runs.
+
+``llm_queries``, if those operators are there: one warm run of the lighter ones each, not in the total.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["group_sum", "group_multi_key", "filter_sql", "select_expr", "join_inner", "join_shuffle_hash", "join_broadcast", "join_asof", "map_row", "map_batches", "pipeline_workload", "star_join", "top_k", "top_k_per_group", "window_rank", "window_running_sum", "agg_count_distinct", "stream_group_batch"]
 
+LLM = ["op2_warc_segments", "op4_url_association_rules", "op8_best_fit_packing", "op9_quality_classifier", "op10_source_mixing"]
+
 
 def main() -> None:
     from pyspark.sql import SparkSession
@@ -40,7 +45,17 @@ def main() -> None:
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
         found[name] = round(statistics.median(times[1:]), 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    extra = {}
+    try:
+        from lakepipe.llm import queries as llm
+    except ImportError:
+        llm = None
+    for name in LLM if llm is not None else ():
+        for _ in range(2):
+            began = time.perf_counter()
+            llm.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            extra[name] = round(time.perf_counter() - began, 3)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "llm_queries": extra, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

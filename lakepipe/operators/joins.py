@@ -19,12 +19,21 @@ HOW = {
 }
 
 
+#: Bytes of a side that may be broadcast on the caller's word.
+BROADCAST_LIMIT = 512 << 20
+
+
+def _may_travel(df: DataFrame) -> bool:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= BROADCAST_LIMIT or size >= 1 << 60  # what Spark says where it knows nothing
+
+
 def join(left: DataFrame, right: DataFrame, on=None, how: str = "inner", *, left_on=None, right_on=None, broadcast: bool = False, right_suffix: str = "_right", strategy: str | None = None) -> DataFrame:
     """Key columns once (filled from either side in outer joins), then the left's other columns, then the right's.
 
-    A right column whose name is taken gets ``right_suffix``. Null keys match nothing. ``broadcast`` is the caller's
-    word that the right side is small; without it Spark decides by measured size. ``strategy``: ``shuffle_hash``,
-    ``merge`` or ``broadcast``.
+    A right column whose name is taken gets ``right_suffix``. Null keys match nothing. ``broadcast`` asks for the right side to
+    be sent to all tasks; that is done unless its estimated size is known to be above BROADCAST_LIMIT, where Spark decides by
+    measured size, as without it. ``strategy``: ``shuffle_hash``, ``merge`` or ``broadcast``.
     """
     if how not in HOW:
         raise ValueError(f"unknown join type {how!r}; one of {', '.join(HOW)}")
@@ -42,8 +51,8 @@ def join(left: DataFrame, right: DataFrame, on=None, how: str = "inner", *, left
     inner_key = [f"__k{i}" for i in range(len(left_keys))]
     rest = [c for c in right.columns if c not in right_keys] if same else list(right.columns)
     r = right.select(*[right[_q(k)].alias(a) for k, a in zip(right_keys, inner_key, strict=True)], *[right[_q(c)].alias(f"__r_{c}") for c in rest])
-    if broadcast:
-        r = F.broadcast(r)
+    if broadcast or strategy == "broadcast":
+        r = F.broadcast(r) if _may_travel(r) else r
     elif strategy:
         r = r.hint(strategy)
     l_ = left.select("*", *[left[_q(k)].alias(f"__l{i}") for i, k in enumerate(left_keys)])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lakepipe import GlobalContext, HashPartitionSpec, RangePartitionSpec, Session, UserDefinedPartitionSpec
 from lakepipe.functions import aggregate_column, check_dialect
+from lakepipe.operators import joins
 from lakepipe.sources.files import ConnectorMissing, uri
 
 
@@ -163,6 +164,21 @@ def test_joins(sides):
         a.join(b, "w")
 
 
+def test_large_sides_are_not_broadcast(session, monkeypatch):
+    a = session.read_parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey")
+    b = session.read_parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey AS o_custkey", "c_name")
+    before = session.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    session.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = a.join(b, "o_custkey", broadcast=True).count()
+        assert "BroadcastHashJoin" in a.join(b, "o_custkey", strategy="broadcast").explain("physical")
+        monkeypatch.setattr(joins, "BROADCAST_LIMIT", 100)
+        late = a.join(b, "o_custkey", broadcast=True)
+        assert "BroadcastHashJoin" not in late.explain("physical") and late.count() == n
+    finally:
+        session.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_keys_of_other_types(session):
     a, b = session.from_arrow(pa.table({"k": [1, 2]})), session.from_arrow(pa.table({"k": [1.0, 3.0], "x": [1, 2]}))
     assert a.join(b, "k").count() == 1
