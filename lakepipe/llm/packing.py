@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakepipe.llm.common import written
+
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 
@@ -133,8 +135,8 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, co
 def pack(sizes: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = bin_cost, doc_id: str = "doc_id", size: str = "size") -> DataFrame:
     """A row for each piece of a document: doc_id, piece, start, size, bin_id, bin_offset, bin_capacity.
 
-    ``sizes``: ids and numbers of tokens; it is read twice, so write it first if it is dear. Pieces of one size are
-    numbered in groups by a hash of their id, so a size that very many documents have is no single task's work.
+    ``sizes``: ids and numbers of tokens. Pieces of one size are numbered in groups by a hash of their id (without one, by where
+    they lie), so a size that very many documents have is no single task's work.
     """
     most = max(capacities)
     rows = sizes.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))
@@ -142,12 +144,15 @@ def pack(sizes: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Calla
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
     start = F.col("piece").cast("long") * most
     pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - start).cast("int").alias("size"))
+    # where a row lies is looked at once, and written
+    at = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "piece"))
+    pieces = written(pieces.withColumn("at", at), "pieces")
     total = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pieces = sum(total.values())
     found = plan({s: n for s, n in total.items() if s}, capacities, cost)
 
     salts = max(64, math.ceil(n_pieces / 500_000))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int"))
     groups = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("size", "salt", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))

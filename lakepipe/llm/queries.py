@@ -95,10 +95,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakepipe.llm import packing
-    from lakepipe.llm.common import word_count, written
+    from lakepipe.llm.common import word_count
 
-    sizes = written(table(spark, sf_dir, "documents").select("doc_id", word_count("text").alias("size")), "sizes")
-    return packing.pack(sizes)
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", word_count("text").alias("size")))
 
 
 @query
