@@ -138,6 +138,17 @@ def _best(query: np.ndarray, item: np.ndarray, value: np.ndarray, keep: int) ->
     return query[kept], item[kept], value[kept]
 
 
+def _best_guesses(query: np.ndarray, item: np.ndarray, value: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _best, for 32-bit values and items that come in order: sorted by one number, of the query and the value's bits."""
+    bits = value.view(np.uint32)
+    down = np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF))  # the larger the value, the smaller
+    order = np.argsort(query.astype(np.uint64) << np.uint64(32) | down, kind="stable")
+    query = query[order]
+    count = np.bincount(query) if len(query) else np.zeros(0, np.int64)
+    kept = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count) < keep
+    return query[kept], item[order][kept], value[order][kept]
+
+
 def _shortlist(tables: np.ndarray, codes: np.ndarray, scale: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the ``keep`` rows with the best estimates for each query."""
     n = tables.shape[2]
@@ -155,13 +166,13 @@ def _shortlist(tables: np.ndarray, codes: np.ndarray, scale: np.ndarray, keep: i
                 x.append(y)
             held += len(rows)
             if held > 3 * width * keep:
-                q, r, v = _best(*[np.concatenate(x) for x in found], keep)
+                q, r, v = _best_guesses(*[np.concatenate(x) for x in found], keep)
                 found, held = ([q], [r], [v]), len(q)
                 count = np.bincount(q, minlength=width)
                 full = count >= keep
                 least[full] = v[np.cumsum(count) - 1][full]
         if held:
-            q, r, _ = _best(*[np.concatenate(x) for x in found], keep)
+            q, r, _ = _best_guesses(*[np.concatenate(x) for x in found], keep)
             out_q.append(q + q0)
             out_r.append(r)
     none = np.zeros(0, np.int64)
@@ -248,7 +259,8 @@ def _scan(quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, dim: int,
             scale = (b.column("length").to_numpy() / np.maximum(b.column("decoded").to_numpy(), 1e-30))[first].astype(np.float32)
             rows, code = rows[first], code[first]
             q, g = _shortlist(tables, code, scale, rerank)
-            score = np.concatenate([exact(rows[g[i : i + 8192]], vectors[q[i : i + 8192]]) for i in range(0, len(q), 8192)] or [np.zeros(0)])
+            # in pieces that stay in the processor's cache
+            score = np.concatenate([exact(rows[g[i : i + 1024]], vectors[q[i : i + 1024]]) for i in range(0, len(q), 1024)] or [np.zeros(0)])
             # a query wants no more groups than rows, and of a group no more rows; its own may be one of them
             q, g, score = _first_groups(q, g, score, members[starts[:-1]], k + 1)
             size = np.minimum(starts[g + 1] - starts[g], k + 1)

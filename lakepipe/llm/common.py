@@ -78,8 +78,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     except Exception:  # at the end of the application Spark may be gone already
-        if "://" not in path:
-            shutil.rmtree(path, ignore_errors=True)
+        if path.startswith(("/", "file:/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def dropped(*tables: DataFrame) -> None:

@@ -348,3 +348,16 @@ def test_rules_on_rows_not_seen():
                 hit &= (x[600:, at[f]] <= bound) == low
             z += r.weight * hit
         assert np.mean((z >= 0) == y[600:]) >= 0.93
+
+
+def test_shortlists_hold_the_best_estimates():
+    rng = np.random.default_rng(7)
+    tables, codes = rng.normal(size=(4, 16, 300)).astype(np.float32), rng.integers(0, 16, (1500, 4)).astype(np.intp)
+    scale = rng.random(1500).astype(np.float32) * np.where(rng.random(1500) < 0.3, -1, 1).astype(np.float32)
+    q, r = ann._shortlist(tables, codes, scale, 20)
+    guess = ann.estimate(tables, codes, scale)
+    for i in range(300):
+        mine, order = r[q == i], np.lexsort((np.arange(1500), -guess[:, i]))[:20]
+        assert len(mine) == 20 and np.array_equal(np.sort(guess[mine, i]), np.sort(guess[order, i]))
+    q, r = ann._shortlist(tables, codes[:7], scale[:7], 20)
+    assert len(q) == 7 * 300 and set(r) == set(range(7))
