@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 #: It is what bytes.split() splits at, and what this class says in Java's patterns.
 BLANK = r"[\x20\x09-\x0D]"
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1024
+
 _folders: dict[str, str] = {}
 
 
@@ -45,7 +48,7 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, and losing an executor loses nothing of it. Shuffle files go
     when the table is written, not when the driver happens to collect its garbage."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"), small_batches(spark):
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lakepipe_path = path
@@ -66,6 +69,13 @@ def settings(spark: SparkSession, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession):
+    """In it, Python gets BATCH_ROWS rows at a time at most: whole texts and what is made of them take memory beside Spark's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    return settings(spark, **{key: str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS)})
+
+
 def bloom_joins(spark: SparkSession):
     """In it, Spark filters the large side of a join by a Bloom filter of the other's keys (of 8 MB at most) before it shuffles.
 
