@@ -47,22 +47,21 @@ def shingle_hashes(text: bytes | None, width: int) -> bytes:
     return b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)])
 
 
+def majority(raw: bytes) -> int:
+    """The fingerprint of hashes of 8 bytes each, most significant first; 0 for none."""
+    n = len(raw) // 8
+    if n <= 1:
+        return int.from_bytes(raw, "big")
+    sums = np.zeros(64, dtype=np.int64)
+    bits = np.frombuffer(raw, dtype=np.uint8)
+    for at in range(0, n, 65_536):  # bounds what a very long text takes
+        sums += np.unpackbits(bits[at * 8 : (at + 65_536) * 8]).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
+
+
 def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
     """As unsigned 64-bit numbers; 0 for texts without words."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for i, t in enumerate(texts):
-        raw = shingle_hashes(t, width)
-        if raw:
-            n = len(raw) // 8
-            if n == 1:
-                out[i] = int.from_bytes(raw, "big")
-                continue
-            sums = np.zeros(64, dtype=np.int64)
-            bits = np.frombuffer(raw, dtype=np.uint8)
-            for at in range(0, n, 65_536):  # bounds what a very long text takes
-                sums += np.unpackbits(bits[at * 8 : (at + 65_536) * 8]).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-            out[i] = int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
-    return out
+    return np.array([majority(shingle_hashes(t, width)) for t in texts], dtype=np.uint64)
 
 
 def fingerprint(text: Column | str, width: int = 4) -> Column:
@@ -91,37 +90,49 @@ def ball(bits: int, radius: int) -> list[int]:
     return found
 
 
+def _looked_up(rows: DataFrame, cut: list[tuple[int, int, int]], balls: bool) -> DataFrame:
+    """A row with t and key for each table entry that ``fp`` is in, or for each that it looks up."""
+    masks = [(t, s, (1 << b) - 1, m) for t, (s, b, r) in enumerate(cut) for m in ball(b, r if balls else 0)]
+    values = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("shift"), F.lit(w).cast("long").alias("whole"), F.lit(m).cast("long").alias("mask")) for t, s, w, m in masks])
+    key = F.expr("(shiftrightunsigned(fp, shift) & whole) ^ mask").alias("key")
+    return rows.select("*", F.explode(values).alias("x")).select(*rows.columns, "x.*").select("t", key, *rows.columns)
+
+
+def _near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def meetings(rows: DataFrame, distance: int = 4, tables: int = 3) -> DataFrame:
+    """``rows``: h, of which each has one row, and a fingerprint fp. Pairs (u, v) of h within ``distance`` bits: each row with
+    the one that stands for a table entry it looks up, for every such entry; so they are in proportion to the rows."""
+    cut = segments(tables, distance)
+    stands = _looked_up(rows, cut, False).groupBy("t", "key").agg(F.min(F.struct("h", "fp")).alias("p")).select("t", "key", F.col("p.h").alias("v"), F.col("p.fp").alias("fp2"))
+    met = _looked_up(rows, cut, True).join(stands, ["t", "key"]).where((F.col("h") != F.col("v")) & _near("fp", "fp2", distance))
+    return met.select(F.col("h").alias("u"), "v")
+
+
 def linked(fps: DataFrame, distance: int = 4, tables: int | None = None) -> DataFrame:
     """``fps``: a column fp of different fingerprints. Gives (node, label), the label being the same for
     those that links join."""
     if tables is None:  # segments of about as many bits as there are fingerprints in a logarithm; either finds the same links
         tables = 3 if fps.count() <= 1 << 22 else 2
     cut = segments(tables, distance)
-    key = F.expr("(shiftrightunsigned(fp, shift) & whole) ^ mask").alias("key")
-
-    def looked_up(rows: DataFrame, masks: list[tuple[int, int, int, int]]) -> DataFrame:
-        values = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("shift"), F.lit(w).cast("long").alias("whole"), F.lit(m).cast("long").alias("mask")) for t, s, w, m in masks])
-        return rows.select("*", F.explode(values).alias("x")).select(*rows.columns, "x.*").select("t", key, *rows.columns)
-
-    own = [(t, s, (1 << b) - 1, 0) for t, (s, b, _) in enumerate(cut)]
-    near_by = [(t, s, (1 << b) - 1, m) for t, (s, b, r) in enumerate(cut) for m in ball(b, r)]
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
     # all that meet in an entry against one of it
-    pivots = looked_up(fps, own).groupBy("t", "key").agg(F.min("fp").alias("pivot"))
-    found = looked_up(fps, near_by).join(pivots, ["t", "key"]).where((F.col("fp") != F.col("pivot")) & near("fp", "pivot"))
+    pivots = _looked_up(fps, cut, False).groupBy("t", "key").agg(F.min("fp").alias("pivot"))
+    found = _looked_up(fps, cut, True).join(pivots, ["t", "key"]).where((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance))
     one = components(found.select(F.col("fp").alias("u"), F.col("pivot").alias("v")))
 
     # then groups against each other; an entry of one group has nothing more to tell that group
     named = written(fps.join(one.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "named")
-    there = looked_up(named, own)
+    there = _looked_up(named, cut, False)
     closed = there.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
     closed = closed.where((F.col("lo") == F.col("hi")) & (F.col("n") >= 16)).select(F.col("t").alias("ct"), F.col("key").alias("ckey"), "lo")
-    asking = looked_up(named, near_by)
+    asking = _looked_up(named, cut, True)
     # the label is compared in a form that is no key of the join, so that both joins are dealt alike
     asking = asking.join(closed, (asking["t"] == closed["ct"]) & (asking["key"] == closed["ckey"]) & (F.col("label").bitwiseXOR(F.col("lo")) == 0), "left_anti")
     there = there.select("t", "key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    pairs = asking.join(there, ["t", "key"]).where((F.col("label") != F.col("label2")) & near("fp", "fp2"))
+    pairs = asking.join(there, ["t", "key"]).where((F.col("label") != F.col("label2")) & _near("fp", "fp2", distance))
     two = components(pairs.select(F.col("label").alias("u"), F.col("label2").alias("v")))
     out = named.join(two.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(F.col("fp").alias("node"), F.coalesce("top", "label").alias("label"))
     out = written(out, "linked")
