@@ -150,6 +150,7 @@ def join_range(left: DataFrame, right: DataFrame, point: str, start: str, end: s
 
     Buckets of ``width`` (near the usual interval length) are for intervals up to a few widths; longer ones go to buckets that
     are 16, 256, … times as wide, so no interval is copied to more than 17 buckets. Points look in the levels that are in use.
+    What a left join adds are the points whose value no interval holds; nothing is sorted by row, however many rows there are.
     """
     if how not in ("inner", "left"):
         raise ValueError("a range join is inner or left")
@@ -161,18 +162,19 @@ def join_range(left: DataFrame, right: DataFrame, point: str, start: str, end: s
     r = right.where(a < b).withColumn("__level", level)
     levels = r.agg(F.sort_array(F.collect_set("__level")).alias("x")).select(F.when(F.size("x") > 0, F.col("x")).otherwise(F.array(F.lit(0))).alias("__levels"))
     r = r.withColumn("__b", F.explode(F.sequence(bucket(a, F.col("__level")), bucket(b, F.col("__level")))))
-    own = left.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else left
-    points = own.join(F.broadcast(levels)).withColumn("__ll", F.explode("__levels")).drop("__levels")
-    points = points.withColumn("__lb", bucket(points[_q(point)], F.col("__ll")))
-    on = (points["__ll"] == r["__level"]) & (points["__lb"] == r["__b"]) & (points[_q(point)] >= r[_q(start)]) & (points[_q(point)] < r[_q(end)])
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = lambda df, c: df.join(F.broadcast(levels)).withColumn("__ll", F.explode("__levels")).drop("__levels").withColumn("__lb", bucket(df[_q(c)], F.col("__ll")))
+    on = lambda p, c: (p["__ll"] == r["__level"]) & (p["__lb"] == r["__b"]) & (p[_q(c)] >= r[_q(start)]) & (p[_q(c)] < r[_q(end)])
+    # a file of few row groups would be read, and so joined, by few tasks
+    points = probes(left.repartition(n), point)
+    hits = points.join(r, on(points, point)).drop("__ll", "__lb", "__level", "__b")
     if how == "inner":
-        return points.join(r, on).drop("__ll", "__lb", "__row", "__level", "__b")
-    # a row for each point without any interval, from one of its levels
-    kept = points.join(r, on, "left")
-    kept = kept.withColumn("__hit", F.col("__b").isNotNull())
-    w = Window.partitionBy("__row")
-    kept = kept.withColumn("__any", F.max("__hit").over(w)).withColumn("__least", F.min("__ll").over(w))
-    return kept.where(F.col("__hit") | (~F.col("__any") & (F.col("__ll") == F.col("__least")))).drop("__ll", "__lb", "__row", "__level", "__b", "__hit", "__any", "__least")
+        return hits
+    # points without any interval: whether a value has one is found out once, and ends at the first
+    values = probes(left.select(at.alias("__v")).distinct(), "__v")
+    found = values.join(r, on(values, "__v"), "left_semi").select("__v").distinct()
+    missed = left.join(found, at == F.col("__v"), "left_anti")
+    return hits.union(missed.select(*[missed[_q(c)] for c in left.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]))
 
 
 def _names(on) -> list[str]:

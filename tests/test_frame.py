@@ -230,6 +230,16 @@ def test_ranges_of_all_lengths(session, how):
     assert none.count() == (7 if how == "left" else 0)
 
 
+def test_left_ranges_sort_no_hits(session):
+    """Rows without an interval are found beside the hits, not by a window over all of them; points of one file are dealt out."""
+    points = session.from_arrow(pa.table({"p": [0.5, 0.5, None, 7.0, -0.0, 0.0], "x": [1, 1, 2, 3, 4, 5]}), n_partitions=1)
+    spans = session.from_arrow(pa.table({"p": [0.0, 0.0], "hi": [1.0, 1e6]}))
+    got = points.join_range(spans.select("p AS lo", "hi"), "p", "lo", "hi", 1.0, "left")
+    assert sorted((r["x"], r["hi"] or 0) for r in got.to_arrow().to_pylist()) == sorted([(1, 1.0), (1, 1e6)] * 2 + [(4, 1.0), (4, 1e6), (5, 1.0), (5, 1e6), (3, 1e6), (2, 0)])
+    plan = got.explain("physical")
+    assert "Window" not in plan and "RoundRobinPartitioning" in plan
+
+
 def test_names_with_dots(session):
     a = session.from_arrow(pa.table({"a.b": [1, 2], "c": [3, 4]}))
     b = session.from_arrow(pa.table({"a.b": [2], "d.e": [5]}))
