@@ -76,6 +76,17 @@ def small_batches(spark: SparkSession):
     return settings(spark, **{key: str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS)})
 
 
+#: Bytes of a table that joins of operators which call small_broadcasts() may send to the driver and to all tasks unasked.
+BROADCAST_BYTES = 1 << 20
+
+
+def small_broadcasts(spark: SparkSession):
+    """In it, Spark broadcasts sides of BROADCAST_BYTES at most by itself: what a chain of joins over tables that grow with the
+    input leaves in the driver's memory is bounded then, whatever the session allows."""
+    most = min(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold(), BROADCAST_BYTES)
+    return settings(spark, spark__sql__autoBroadcastJoinThreshold=str(most), spark__sql__adaptive__autoBroadcastJoinThreshold=str(most))
+
+
 def bloom_joins(spark: SparkSession):
     """In it, Spark filters the large side of a join by a Bloom filter of the other's keys (of 8 MB at most) before it shuffles.
 

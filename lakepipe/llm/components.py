@@ -11,12 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import dropped, written
+from lakepipe.llm.common import dropped, small_broadcasts, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: columns u and v, in any direction, repeats allowed. Gives (node, label) for every vertex with an edge to
     another; ``label`` is the smallest vertex of its component."""
+    with small_broadcasts(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     both = edges.where(F.col("u") != F.col("v")).select("u", "v")
     e = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = None

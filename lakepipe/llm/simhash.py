@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakepipe.llm.common import dropped, identified, payloads, written
+from lakepipe.llm.common import dropped, identified, payloads, small_broadcasts, written
 from lakepipe.llm.components import components
 
 SEED = 42
@@ -114,6 +114,11 @@ def meetings(rows: DataFrame, distance: int = 4, tables: int = 3) -> DataFrame:
 def linked(fps: DataFrame, distance: int = 4, tables: int | None = None) -> DataFrame:
     """``fps``: a column fp of different fingerprints. Gives (node, label), the label being the same for
     those that links join."""
+    with small_broadcasts(fps.sparkSession):
+        return _linked(fps, distance, tables)
+
+
+def _linked(fps: DataFrame, distance: int, tables: int | None) -> DataFrame:
     if tables is None:  # segments of about as many bits as there are fingerprints in a logarithm; either finds the same links
         tables = 3 if fps.count() <= 1 << 22 else 2
     cut = segments(tables, distance)
@@ -147,8 +152,10 @@ def groups(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str = "do
     links = linked(classes.select("fp"), distance)
     named = classes.join(links.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = written(named.join(least, "label").select("fp", "component_id"), "groups")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    with small_broadcasts(docs.sparkSession):
+        found = written(named.join(least, "label").select("fp", "component_id"), "groups")
+    dropped(classes, links)
+    return rows.join(found.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column | str) -> Column:
@@ -162,6 +169,7 @@ def keep_first(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str =
     classes = written(rows.groupBy("fp").agg(F.min(F.struct("key", "th")).alias("at")), "classes")
     links = linked(classes.select("fp"), distance)
     kept = classes.join(links.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("at").alias("at"))
-    kept = written(kept.select(F.col("at.key").alias(key), F.col("at.th").alias(th)), "kept")
+    with small_broadcasts(docs.sparkSession):
+        kept = written(kept.select(F.col("at.key").alias(key), F.col("at.th").alias(th)), "kept")
     dropped(rows, classes, links)
     return keyed.join(kept.hint("shuffle_hash"), [key, th], "left_semi").dropDuplicates([key, th]).drop(key, th)

@@ -439,6 +439,26 @@ def test_simhash_over_the_table(spark, docs):
         assert {got[i]["component_id"] for i in members} == {min(members)}
 
 
+def test_simhash_broadcasts_little(spark, docs, monkeypatch):
+    """Tables that grow with the input are not sent to the driver for joins, though the session would allow it."""
+    from lakepipe.llm import components
+
+    limits = []
+    for module in (simhash, components):
+
+        def written(df, what="table", before=module.written):
+            if what not in ("fingerprints", "classes"):  # no joins there
+                limits.append(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+            return before(df, what)
+
+        monkeypatch.setattr(module, "written", written)
+    was = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    out = simhash.groups(docs)
+    assert was > 1 << 20 and len(limits) > 4 and max(limits) <= 1 << 20
+    assert spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() == was
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_awkward(spark):
     df = awkward(spark)
     got = [(r["doc_id"], r["component_id"]) for r in simhash.groups(df).collect()]
