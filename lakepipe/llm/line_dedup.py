@@ -38,10 +38,10 @@ from lakepipe.llm.common import bloom_joins, dropped, free, identified, settings
 
 #: Token counts are kept in so many buckets: what the order of rarity costs in memory, whatever the corpus.
 BUCKETS = 1 << 17
-#: The columns of a token map: all tokens, and those whose bit 6 is set.
+#: The columns of a token map: all tokens, and (of sets that _wide() says) those whose bit 6 is set.
 MAPS = ["m0", "m1"]
-#: Numbers that make different min-hash orders.
-SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)
+#: Numbers that make different min-hash orders; both ends of an order give a token.
+SALTS = (0x2545F4914F6CDD1D, 0x61C8864680B583EB)
 #: A line with a token.
 SOLID = r"[^\x20\x09-\x0D]"
 #: Where a line stands: columns of all tables of classes.
@@ -75,28 +75,33 @@ def _hashes() -> list[Column]:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """id, h, g, copies, key, th, line_no (of the first place), line (plain); a row for each different line with a token."""
-    lines = _lines(docs).select(*PLACE, *_hashes(), _plain("line").alias("line"))
+    """id, h, g, copies, key, th, line_no (of the first place), hashes (of the different tokens); a row for each different line
+    with a token. Whatever needs the tokens later reads their hashes: lines are split once."""
+    lines = _lines(docs).select(*PLACE, *_hashes(), "line")
     found = lines.groupBy("h", "g").agg(F.min(F.struct(*PLACE, "line")).alias("at"), F.count(F.lit(1)).alias("copies"))
-    return found.select(F.monotonically_increasing_id().alias("id"), "h", "g", "copies", "at.*")
+    rest = [F.monotonically_increasing_id().alias("id"), "h", "g", "copies", *[f"at.{c}" for c in PLACE]]
+    found = found.select(*rest, _plain("at.line").alias("line"))
+    hashed = F.array_distinct(F.transform(_tokens("line"), lambda t: F.xxhash64(t)))
+    return found.select("id", "h", "g", "copies", *PLACE, F.array_remove(hashed, F.xxhash64(F.lit(""))).alias("hashes"))
 
 
 def _bucket(h: Column) -> tuple[Column, Column]:
     """Of a token's hash: the number that its level is in, and how far left that has to go for the level to come first."""
-    return h.bitwiseAND(_long(BUCKETS // 16 - 1)).cast("int"), F.shiftrightunsigned(h, 13).bitwiseAND(_long(60)).cast("int")
+    return h.bitwiseAND(_long(BUCKETS // 16 - 1)).cast("int"), F.shiftrightunsigned(h, 58).bitwiseAND(_long(60)).cast("int")
 
 
 def _levels(classes: DataFrame) -> Column:
     """How frequent each of BUCKETS buckets of tokens is, in 16 steps around the mean, sixteen to a number; its size is fixed,
-    so it travels as a constant. The first bit of a level is turned, so that signed numbers are in the order of levels."""
-    words = classes.select(F.explode_outer(_tokens("line")).alias("t"))
-    low, left = (BUCKETS // 16 - 1), 60 << 13
-    counts = words.groupBy(F.xxhash64("t").bitwiseAND(_long(low | left)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    so it travels as a constant. The first bit of a level is turned, so that signed numbers are in the order of levels, and the
+    first four bits of the bucket's hashes, so that these give way to the level when both meet."""
+    words = classes.select(F.explode_outer("hashes").alias("t"))
+    low, left = (BUCKETS // 16 - 1), -(1 << 60)
+    counts = words.groupBy(F.col("t").bitwiseAND(_long(low | left)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     # as many groups as buckets, so that Spark's fast map (of 2^16 groups by default) holds them all
     with settings(classes.sparkSession, spark__sql__codegen__aggregate__fastHashMap__capacityBit="18"):
         counts = written(counts, "counts")
     mean = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / BUCKETS or 1.0
-    level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("n") / F.lit(mean))) + 5)).cast("long").bitwiseXOR(_long(8))
+    level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("n") / F.lit(mean))) + 5)).cast("long").bitwiseXOR(_long(8)).bitwiseXOR(F.shiftrightunsigned("b", 60))
     at, shift = _bucket(F.col("b"))
     packed = counts.groupBy(at.alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, F.lit(60) - shift)).alias("v"))
     found = {r["at"]: r["v"] for r in packed.collect()}
@@ -104,29 +109,33 @@ def _levels(classes: DataFrame) -> Column:
     return F.expr(f"array({', '.join(f'{found.get(i, 0)}L' for i in range(BUCKETS // 16))})")
 
 
-def _with_sets(classes: DataFrame, levels: Column) -> DataFrame:
-    """Of ``classes`` (with line) the other columns, and n, m0, m1 and ``set``: different tokens as numbers, the rarest first;
+def _ratio(threshold: float) -> tuple[int, int]:
+    part = Fraction(str(threshold))
+    return part.numerator, part.denominator
+
+
+def _wide(n: Column, threshold: float) -> Column:
+    """Whether sets of ``n`` tokens have the second half of the map: where 64 bits tell little, as similar sets may differ in
+    more than 16 tokens."""
+    p, q = _ratio(threshold)
+    return n * F.lit(q - p) > F.lit(8 * (p + q))
+
+
+def _with_sets(classes: DataFrame, levels: Column, threshold: float) -> DataFrame:
+    """Of ``classes`` (with hashes) the other columns, and n, m0, m1 and ``set``: different tokens as numbers, the rarest first;
     4 bits of rarity, then 60 bits of hash, in which the bucket's other levels are mixed."""
 
     def placed(h: Column) -> Column:
         at, shift = _bucket(h)
-        return F.coalesce(F.call_function("shiftleft", F.get(levels, at), shift).bitwiseXOR(F.shiftrightunsigned(h, 4)), _long(0))
+        return F.coalesce(F.call_function("shiftleft", F.get(levels, at), shift).bitwiseXOR(h), _long(0))
 
     def flipped(bit) -> Column:
         return F.coalesce(F.aggregate("set", _long(0), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", bit(t), F.hash(t)))), _long(0))
 
-    rest = [c for c in classes.columns if c != "line"]
-    line = F.col("line")
-    hashed = F.array_distinct(F.transform(_tokens("line"), lambda t: F.xxhash64(t)))
-    gaps = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
-    rows = classes.select(*rest, F.when(gaps, F.array_remove(hashed, F.xxhash64(F.lit("")))).otherwise(hashed).alias("set"))
-    rows = rows.select(*rest, F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.sort_array(F.transform("set", placed)).alias("set"))
-    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))})
-
-
-def _ratio(threshold: float) -> tuple[int, int]:
-    part = Fraction(str(threshold))
-    return part.numerator, part.denominator
+    rest = [c for c in classes.columns if c != "hashes"]
+    rows = classes.select(*rest, F.coalesce(F.size("hashes"), F.lit(0)).alias("n"), F.sort_array(F.transform("hashes", placed)).alias("set"))
+    odd = F.when(_wide(F.col("n"), threshold), flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))).otherwise(_long(0))
+    return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": odd})
 
 
 def _prefixes(sets: DataFrame, threshold: float, *also: str) -> DataFrame:
@@ -137,11 +146,13 @@ def _prefixes(sets: DataFrame, threshold: float, *also: str) -> DataFrame:
 
 
 def _maps_fit(a: str, b: str, threshold: float) -> Column:
-    """What the sizes and maps of similar sets fulfil: they differ in (n + m) (1 - threshold) / (1 + threshold) tokens at most."""
+    """What the sizes and maps of similar sets fulfil: they differ in (n + m) (1 - threshold) / (1 + threshold) tokens at most.
+    The map of all tokens alone turns most pairs down; its halves are looked at after that, if both sets have them."""
     p, q = _ratio(threshold)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     all_, odd = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in MAPS)
-    return (F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)) * F.lit(p + q) <= (n + m) * F.lit(q - p)
+    fit = lambda bits: bits * F.lit(p + q) <= (n + m) * F.lit(q - p)
+    return fit(F.bit_count(all_)) & (~_wide(F.least(n, m), threshold) | fit(F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)))
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
@@ -167,22 +178,21 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     levels = _levels(classes)
 
     # which classes have a candidate at all
-    posts = _prefixes(_with_sets(classes.select("id", "line"), levels), threshold)
+    posts = _prefixes(_with_sets(classes.select("id", "hashes"), levels, threshold), threshold)
     a, b = posts.alias("a"), posts.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & _possible("a", "b", threshold)
     some = written(a.join(b, on, "left_semi").select("id").distinct(), "candidates")
     with bloom_joins(docs.sparkSession):
         chosen = classes.join(some.where("id >= 0").hint("shuffle_hash"), "id", "left_semi")
-        sets = written(_with_sets(chosen, levels), "sets")
+        sets = written(_with_sets(chosen, levels, threshold), "sets")
     dropped(some)
 
     # a few comparisons each, with the earliest holders of min-hash tokens
-    def key_of(salt: int) -> Column:
-        return F.array_min(F.transform("set", lambda t: F.xxhash64(t, F.lit(salt))))
-
+    orders = {f"o{i}": F.transform("set", lambda t, s=s: F.xxhash64(t, F.lit(s))) for i, s in enumerate(SALTS)}
+    ends = [end(o) for o in orders for end in (F.array_min, F.array_max)]
     whole = [*PLACE, "id", "n", *MAPS]
     place = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in PLACE])
-    keyed = written(sets.select(*whole, F.explode_outer(F.array(*[key_of(s) for s in SALTS])).alias("token")), "keyed")
+    keyed = written(sets.withColumns(orders).select(*whole, F.explode_outer(F.array(*ends)).alias("token")), "keyed")
     lead = written(keyed.groupBy("token").agg(F.min(F.struct(*whole)).alias("b")), "leaders")
     met = keyed.select("token", F.struct(*whole).alias("a")).join(lead, "token")
     pairs = met.where((F.col("a.id") != F.col("b.id")) & (place("b") < place("a")) & _maps_fit("a", "b", threshold))

@@ -234,6 +234,39 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.clean(df.limit(0)).count() == 0
 
 
+def test_line_dedup_splits_lines_once(spark):
+    """Classes hold the hashes of their tokens; what comes after neither has nor splits any text."""
+    df = spark.createDataFrame([(1, 1, "b a  b\ta\n\n a b "), (2, 2, "c")], "key long, th long, text string")
+    classes = line_dedup._classes(df)
+    assert "line" not in classes.columns
+    assert sorted(len(r["hashes"]) for r in classes.collect()) == [1, 2, 2]
+    sets = line_dedup._with_sets(classes, line_dedup._levels(classes.localCheckpoint()), 0.8)
+    rows = sets.collect()
+    assert sorted(len(set(r["set"])) for r in rows) == sorted(r["n"] for r in rows) == [1, 2, 2]
+    assert len({tuple(r["set"]) for r in rows}) == 2  # two lines of the same tokens
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_line_dedup_maps_pass_similar_sets(spark, threshold):
+    """Of sizes around the one from which sets have the second half of a map."""
+    import random
+
+    rng, rows = random.Random(7), []
+    p, q = line_dedup._ratio(threshold)
+    edge = 8 * (p + q) // (q - p)
+    for k in range(120):
+        n = max(1, edge + rng.randint(-6, 6))
+        m = rng.randint(int(n * threshold) + 1, n)
+        one = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        rows.append((k, one, one[:m]))  # a part of the first is as similar as its size says
+    df = spark.createDataFrame(rows, "id long, one array<long>, two array<long>")
+    levels = F.expr(f"array({', '.join(['0L'] * (line_dedup.BUCKETS // 16))})")
+    a, b = (line_dedup._with_sets(df.select("id", F.col(c).alias("hashes")), levels, threshold).alias(t) for c, t in (("one", "a"), ("two", "b")))
+    wide = a.join(b, "id").select(F.col("a.m1") != 0, F.col("b.m1") != 0, line_dedup._maps_fit("a", "b", threshold)).collect()
+    assert all(r[2] for r in wide) and len(wide) == 120
+    assert {True, False} <= {r[0] for r in wide}  # sets of both kinds were there
+
+
 # ---- 4
 
 
