@@ -11,7 +11,7 @@ it is among the first few of both (prefix filter), and what is behind it must ho
 (length and positional filter in one, as this overlap depends on both lengths). Of each set a 128-bit map goes along, in
 which a token flips the bit that it names; maps of similar sets differ in no more bits than the sets differ in tokens
 (bitmap filter). A first join asks only whether a class has any candidate, and emits no pair. Among the classes that have
-one, all first measure against the earliest holder of one of their min-hash tokens, which settles most members of a large
+one, all first measure against the earliest holder of one of their eight min-hash tokens, which settles most members of a large
 group of near copies by a few comparisons each; only the others meet all earlier holders of a prefix token, and complete
 similarities are verified.
 
@@ -121,9 +121,9 @@ def _wide(n: Column, threshold: float) -> Column:
     return n * F.lit(q - p) > F.lit(8 * (p + q))
 
 
-def _with_sets(classes: DataFrame, levels: Column, threshold: float) -> DataFrame:
+def _with_sets(classes: DataFrame, levels: Column, threshold: float, whole: bool = False) -> DataFrame:
     """Of ``classes`` (with hashes) the other columns, and n, m0, m1 and ``set``: different tokens as numbers, the rarest first;
-    4 bits of rarity, then 60 bits of hash, in which the bucket's other levels are mixed."""
+    4 bits of rarity, then 60 bits of hash, in which the bucket's other levels are mixed. ``whole``: all have both halves of the map."""
 
     def placed(h: Column) -> Column:
         at, shift = _bucket(h)
@@ -134,7 +134,7 @@ def _with_sets(classes: DataFrame, levels: Column, threshold: float) -> DataFram
 
     rest = [c for c in classes.columns if c != "hashes"]
     rows = classes.select(*rest, F.coalesce(F.size("hashes"), F.lit(0)).alias("n"), F.sort_array(F.transform("hashes", placed)).alias("set"))
-    odd = F.when(_wide(F.col("n"), threshold), flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))).otherwise(_long(0))
+    odd = F.when(_wide(F.col("n"), threshold) | F.lit(whole), flipped(lambda t: F.shiftright(t, 6).bitwiseAND(_long(1)))).otherwise(_long(0))
     return rows.withColumns({"m0": flipped(lambda t: _long(1)), "m1": odd})
 
 
@@ -145,21 +145,21 @@ def _prefixes(sets: DataFrame, threshold: float, *also: str) -> DataFrame:
     return sets.select("id", "n", *MAPS, *also, F.posexplode_outer(F.slice("set", F.lit(1), length)).alias("pos", "token")).where("token IS NOT NULL")
 
 
-def _maps_fit(a: str, b: str, threshold: float) -> Column:
+def _maps_fit(a: str, b: str, threshold: float, whole: bool = False) -> Column:
     """What the sizes and maps of similar sets fulfil: they differ in (n + m) (1 - threshold) / (1 + threshold) tokens at most.
     The map of all tokens alone turns most pairs down; its halves are looked at after that, if both sets have them."""
     p, q = _ratio(threshold)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     all_, odd = (F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")) for x in MAPS)
     fit = lambda bits: bits * F.lit(p + q) <= (n + m) * F.lit(q - p)
-    return fit(F.bit_count(all_)) & (~_wide(F.least(n, m), threshold) | fit(F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)))
+    return fit(F.bit_count(all_)) & ((F.lit(not whole) & ~_wide(F.least(n, m), threshold)) | fit(F.bit_count(all_.bitwiseXOR(odd)) + F.bit_count(odd)))
 
 
-def _possible(a: str, b: str, threshold: float) -> Column:
+def _possible(a: str, b: str, threshold: float, whole: bool = False) -> Column:
     """What two postings of the first token that similar sets share must fulfil."""
     p, q = _ratio(threshold)
     left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    return _maps_fit(a, b, threshold) & (left * F.lit(p + q) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(p))
+    return _maps_fit(a, b, threshold, whole) & (left * F.lit(p + q) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(p))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -184,7 +184,7 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     some = written(a.join(b, on, "left_semi").select("id").distinct(), "candidates")
     with bloom_joins(docs.sparkSession):
         chosen = classes.join(some.where("id >= 0").hint("shuffle_hash"), "id", "left_semi")
-        sets = written(_with_sets(chosen, levels, threshold), "sets")
+        sets = written(_with_sets(chosen, levels, threshold, whole=True), "sets")
     dropped(some)
 
     # a few comparisons each, with the earliest holders of min-hash tokens
@@ -195,14 +195,14 @@ def repeated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     keyed = written(sets.withColumns(orders).select(*whole, F.explode_outer(F.array(*ends)).alias("token")), "keyed")
     lead = written(keyed.groupBy("token").agg(F.min(F.struct(*whole)).alias("b")), "leaders")
     met = keyed.select("token", F.struct(*whole).alias("a")).join(lead, "token")
-    pairs = met.where((F.col("a.id") != F.col("b.id")) & (place("b") < place("a")) & _maps_fit("a", "b", threshold))
+    pairs = met.where((F.col("a.id") != F.col("b.id")) & (place("b") < place("a")) & _maps_fit("a", "b", threshold, whole=True))
     settled = written(_similar(pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("id2")).distinct(), sets, threshold), "settled")
 
     # the others with every earlier holder of a prefix token
     there = _prefixes(sets, threshold, *PLACE)
     asking = _prefixes(sets.join(settled, "id", "left_anti"), threshold, *PLACE)
     a, b = asking.alias("a"), there.alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & _possible("a", "b", threshold) & (place("b") < place("a"))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & _possible("a", "b", threshold, whole=True) & (place("b") < place("a"))
     pairs = a.join(b, on).select(F.col("a.id").alias("id"), F.col("b.id").alias("id2")).distinct()
     late = settled.unionByName(_similar(pairs, sets, threshold))
 
